@@ -53,29 +53,36 @@ def parse_changes(
     type or a field is unknown. Images are parsed as text first, so each is parsed only once.
     """
     raw = F.col(text)
-    envelope_schema = T.StructType(_ENVELOPE.fields[:4])
+    others = [c for c in lines.columns if c != text]
     envelope = F.from_json(raw, _ENVELOPE, {"columnNameOfCorruptRecord": "_bad"})
-    df = lines.withColumn("_env", envelope)
-    image = F.col("_env.after")
+    # inline of a one-element array keeps the parse in one step: a plain struct column would be parsed
+    # again for every field taken from it
+    df = lines.select(*others, raw.alias("_line"), F.inline(F.array(envelope)))
+    image = F.col("after")
     if delete_image == "before":
-        image = F.when(F.col("_env.op") == DELETE, F.coalesce(image, F.col("_env.before"))).otherwise(image)
-    with_bad = T.StructType([*payload.fields, T.StructField("_bad", T.StringType())])
-    df = df.withColumn("_image", image).withColumn(
-        "_row", F.from_json(F.col("_image"), with_bad, {"columnNameOfCorruptRecord": "_bad"})
-    )
+        image = F.when(F.col("op") == DELETE, F.coalesce(image, F.col("before"))).otherwise(image)
+    with_bad = T.StructType([*payload.fields, T.StructField("_bad_image", T.StringType())])
+    row = F.from_json(F.col("_image"), with_bad, {"columnNameOfCorruptRecord": "_bad_image"})
+    df = df.select(
+        *others,
+        "_line",
+        F.col("_bad").isNotNull().alias("_bad"),
+        F.col("op").alias("cdc_operation"),
+        F.col("ts_ms").alias("cdc_timestamp_ms"),
+        image.alias("_image"),
+    ).select("*", F.inline(F.array(row)))
     mismatch = (
-        F.col("_env._bad").isNotNull()
-        | F.col("_row._bad").isNotNull()
-        | _unknown_fields(raw, envelope_schema)
+        F.col("_bad")
+        | F.col("_bad_image").isNotNull()
+        | _unknown_fields(F.col("_line"), T.StructType(_ENVELOPE.fields[:4]))
         | _unknown_fields(F.col("_image"), payload)
     )
-    others = [c for c in lines.columns if c != text]
     return df.select(
-        *[F.col(f"_row.`{n}`").alias(n) for n in payload.names],
-        F.col("_env.op").alias("cdc_operation"),
-        F.col("_env.ts_ms").alias("cdc_timestamp_ms"),
+        *payload.names,
+        "cdc_operation",
+        "cdc_timestamp_ms",
         *others,
-        F.when(mismatch, raw).alias("_rescued_data"),
+        F.when(mismatch, F.col("_line")).alias("_rescued_data"),
     )
 
 

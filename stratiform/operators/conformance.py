@@ -6,7 +6,7 @@ Inputs are inventories, not SQL text. `inv_tables` may carry `properties` (map)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.functions.text import has_text
@@ -33,16 +33,15 @@ def layer_of(name: Column) -> Column:
 
 
 def column_facts(inv_columns: DataFrame) -> DataFrame:
-    """Last two columns of each table and whether it has the flag column.
+    """Last column of each table, last column besides `source_system`, presence of the flag column.
 
-    The rank and the grouping share one shuffle by table; a table has few columns.
+    Plain aggregates: the columns of a table are combined in each task before the shuffle.
     """
-    back = Window.partitionBy(*TABLE_KEY).orderBy(F.col("ordinal").desc(), "column_name")
-    ranked = inv_columns.select(*TABLE_KEY, "column_name", F.row_number().over(back).alias("_back"))
-    return ranked.groupBy(*TABLE_KEY).agg(
-        F.max(F.when(F.col("_back") == 2, F.col("column_name"))).alias("_second_last"),
-        F.max(F.when(F.col("_back") == 1, F.col("column_name"))).alias("_last"),
-        F.bool_or(F.col("column_name") == FLAG).alias("_has_flag"),
+    name, ordinal = F.col("column_name"), F.col("ordinal")
+    return inv_columns.groupBy(*TABLE_KEY).agg(
+        F.max_by(name, ordinal).alias("_last"),
+        F.max_by(name, F.when(name != AUDIT_COLUMNS[1], ordinal)).alias("_last_other"),
+        F.bool_or(name == FLAG).alias("_has_flag"),
     )
 
 
@@ -54,17 +53,39 @@ def _unpivoted(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.select(*TABLE_KEY, F.inline(F.array(*lines)))
 
 
+def _table_rules() -> dict[str, Column]:
+    return {
+        "name": F.rlike("table_name", F.lit(NAME_PATTERN)),
+        "audit_columns_last": (F.col("_last_other") == AUDIT_COLUMNS[0]) & (F.col("_last") == AUDIT_COLUMNS[1]),
+        "comment": has_text(F.col("comment")),
+    }
+
+
+def _layer_rules() -> dict[str, Column]:
+    layer = layer_of(F.col("table_name"))
+    properties = F.lit(False)
+    for name, keys in REQUIRED_PROPERTIES.items():
+        fits = (layer == name) & (F.col("properties")["quality"] == name)
+        for key in keys[1:]:
+            fits = fits & (F.col("properties")[key] == "true")
+        properties = properties | F.coalesce(fits, F.lit(False))
+    silver = layer == "silver"
+    return {
+        "properties": properties,
+        "kind": F.upper(F.replace("table_type", F.lit("_"), F.lit(" "))).isin(*KINDS),
+        "quality_flag": ~silver | F.coalesce("_has_flag", F.lit(False)),
+        "rules_in_silver_only": silver | (F.coalesce("rule_count", F.lit(0)) == 0),
+    }
+
+
 def table_conformance(inv_tables: DataFrame, inv_columns: DataFrame) -> DataFrame:
     """Name form, audit columns last, description present."""
-    joined = inv_tables.join(column_facts(inv_columns), TABLE_KEY, "left")
-    return _unpivoted(
-        joined,
-        {
-            "name": F.rlike("table_name", F.lit(NAME_PATTERN)),
-            "audit_columns_last": (F.col("_second_last") == AUDIT_COLUMNS[0]) & (F.col("_last") == AUDIT_COLUMNS[1]),
-            "comment": has_text(F.col("comment")),
-        },
-    )
+    return _unpivoted(inv_tables.join(column_facts(inv_columns), TABLE_KEY, "left"), _table_rules())
+
+
+def layer_conformance(inv_tables: DataFrame, inv_columns: DataFrame) -> DataFrame:
+    """Layer properties, kind of table, flag column in silver, rules only in silver."""
+    return _unpivoted(inv_tables.join(column_facts(inv_columns), TABLE_KEY, "left"), _layer_rules())
 
 
 def source_conformance(observed_sources: DataFrame) -> DataFrame:
@@ -80,33 +101,9 @@ def source_conformance(observed_sources: DataFrame) -> DataFrame:
     )
 
 
-def layer_conformance(inv_tables: DataFrame, inv_columns: DataFrame) -> DataFrame:
-    """Layer properties, kind of table, flag column in silver, rules only in silver."""
-    layer = layer_of(F.col("table_name"))
-    properties = F.lit(False)
-    for name, keys in REQUIRED_PROPERTIES.items():
-        fits = (layer == name) & (F.col("properties")["quality"] == name)
-        for key in keys[1:]:
-            fits = fits & (F.col("properties")[key] == "true")
-        properties = properties | F.coalesce(fits, F.lit(False))
-    kind = F.upper(F.replace("table_type", F.lit("_"), F.lit(" "))).isin(*KINDS)
-    silver = layer == "silver"
-    joined = inv_tables.join(column_facts(inv_columns), TABLE_KEY, "left")
-    return _unpivoted(
-        joined,
-        {
-            "properties": properties,
-            "kind": kind,
-            "quality_flag": ~silver | F.coalesce("_has_flag", F.lit(False)),
-            "rules_in_silver_only": silver | (F.coalesce("rule_count", F.lit(0)) == 0),
-        },
-    )
-
-
 def conformance(inv_tables: DataFrame, inv_columns: DataFrame, observed_sources: DataFrame) -> DataFrame:
-    """All rules of the standard as `table key, rule, passed`."""
-    return (
-        table_conformance(inv_tables, inv_columns)
-        .unionByName(layer_conformance(inv_tables, inv_columns))
-        .unionByName(source_conformance(observed_sources))
+    """All rules of the standard as `table key, rule, passed`; the inventories are joined once."""
+    joined = inv_tables.join(column_facts(inv_columns), TABLE_KEY, "left")
+    return _unpivoted(joined, {**_table_rules(), **_layer_rules()}).unionByName(
+        source_conformance(observed_sources)
     )

@@ -199,7 +199,6 @@ def flow_performance(event_log: DataFrame, as_of: date, audit_ts: datetime, days
     """Runs, durations, errors and health by day, pipeline, flow and dataset over the last days."""
     errors = F.count_if(F.col("level") == "ERROR")
     minutes = F.when(F.col("event_type") == "flow_progress", json_minutes(F.col("details")))
-    exact_minutes = minutes.cast("decimal(18,9)")
     out = (
         event_log.filter(recent(F.col("timestamp"), F.lit(as_of), days))
         .groupBy(
@@ -211,7 +210,7 @@ def flow_performance(event_log: DataFrame, as_of: date, audit_ts: datetime, days
         .agg(
             F.count(F.lit(1)).alias("event_count"),
             F.count_distinct("origin.update_id").alias("update_count"),
-            rounded_ratio(F.sum(exact_minutes), F.count(exact_minutes)).alias("avg_duration_minutes"),
+            rounded_ratio(exact_sum(minutes), F.count(minutes)).alias("avg_duration_minutes"),
             errors.alias("error_count"),
             health_band(errors).alias("health_status"),
         )

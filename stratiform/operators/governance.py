@@ -12,7 +12,7 @@ from stratiform.functions.measures import share_pct
 from stratiform.functions.text import has_text, user_name
 from stratiform.operators.ledger import REJECTED
 from stratiform.sources.inventory import INTERNAL_SCHEMAS, TABLE_KEY, in_allow_list
-from stratiform.sources.tables import align_to_schema
+from stratiform.sources.tables import align_to_schema, write_table
 from stratiform.specs import METADATA_KPIS
 
 # Metric names of the cache.
@@ -117,6 +117,11 @@ def kpi_cache(
     return align_to_schema(stamped, METADATA_KPIS.schema)
 
 
+def refresh_cache(cache: DataFrame, table: str) -> None:
+    """Replace the cache in one overwrite, so readers never see it empty."""
+    write_table(cache, METADATA_KPIS, table)
+
+
 def cached_metrics(cache: DataFrame) -> DataFrame:
     return cache.filter(F.col("metric_name").isin(*COVERAGE)).select(
         "metric_name", F.coalesce("metric_value", F.lit(0)).alias("metric_value")

@@ -48,7 +48,7 @@ def transactions(
             text(F.col("l_partkey")),
             text(F.col("l_suppkey")),
             text(date_key(day)),
-            text(F.col("l_extendedprice").cast("decimal(18,2)")),
+            text(F.rint(F.col("l_extendedprice") * F.lit(100.0)).cast("bigint")),
         ).alias("transaction_id"),
         text(F.col("l_orderkey")).alias("basket_id"),
         text(F.col("l_partkey")).alias("article_id"),
@@ -56,7 +56,7 @@ def transactions(
         date_key(day).alias("date_key"),
         F.col("l_quantity").cast("bigint").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        F.round(F.col("l_discount") * F.lit(100.0)).cast("bigint").alias("discount_pct"),
+        F.rint(F.col("l_discount") * F.lit(100.0)).cast("bigint").alias("discount_pct"),
         net.alias("net_amount"),
         (net * (F.lit(1.0) + F.col("l_tax"))).alias("total_amount"),
     ]

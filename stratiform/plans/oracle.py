@@ -57,7 +57,7 @@ def day_key(d: str) -> str:
 NET = "l_extendedprice * (1.0::DOUBLE - l_discount)"
 TRANSACTIONS = f"""transactions AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {day_key('l_shipdate')},
-           CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)) AS transaction_id,
+           CAST(ROUND(l_extendedprice * 100.0::DOUBLE) AS BIGINT)) AS transaction_id,
     CAST(l_partkey AS VARCHAR) AS article_id, CAST(l_shipdate AS DATE) AS transaction_date,
     {day_key('l_shipdate')} AS date_key, CAST(l_quantity AS BIGINT) AS quantity,
     l_extendedprice / l_quantity AS unit_price,
@@ -94,6 +94,9 @@ RAW_TRANSACTIONS = f"""{TRANSACTIONS}, raw AS (
   SELECT *, CASE WHEN quantity IS NULL THEN 'MISSING_QUANTITY' WHEN unit_price < 0 THEN 'NEGATIVE_PRICE'
     ELSE 'CLEAN' END AS data_quality_flag FROM raw)"""
 
+SILVER_TRANSACTIONS = f"""WITH {RAW_TRANSACTIONS} SELECT *, {audited('silver_transformation')} FROM checked
+  WHERE quantity > 0 AND unit_price >= 0 AND total_amount >= 0"""
+
 OPERATION = "CASE event_type WHEN 'signup' THEN 'c' WHEN 'purchase' THEN 'r' WHEN 'error' THEN 'd' ELSE 'u' END"
 CLASSIFIED = f"""raw AS (
   SELECT CASE WHEN event_id % 97 <> 0 THEN user_id END AS user_id, event_id, event_type AS kind,
@@ -479,8 +482,8 @@ def oracle_sql() -> dict[str, str]:
               WHEN status IS NULL THEN 'MISSING_STATUS' ELSE 'CLEAN' END AS data_quality_flag,
             {audited('silver_transformation')} FROM typed WHERE cost >= 0 AND price >= 0
             AND upper(trim(status)) IN ('ACTIVE', 'BLOCKED', 'PENDING', 'DISCONTINUED')""",
-        "silver_transactions": f"""WITH {RAW_TRANSACTIONS} SELECT *, {audited('silver_transformation')} FROM checked
-            WHERE quantity > 0 AND unit_price >= 0 AND total_amount >= 0""",
+        "silver_transactions": SILVER_TRANSACTIONS,
+        "silver_transactions_stream": SILVER_TRANSACTIONS,
         "expectation_report": f"WITH {RAW_TRANSACTIONS} "
         + _report(
             [
@@ -511,12 +514,11 @@ def oracle_sql() -> dict[str, str]:
         "daily_summary_stream": daily(False),
         "flow_health": f"""WITH log AS (
             SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase')
-              THEN CAST(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) || '000' AS DOUBLE) / 60000.0::DOUBLE
-                AS DECIMAL(18,9)) END AS minutes
+              THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) || '000' AS DOUBLE) / 60000.0::DOUBLE END AS minutes
             FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00')
             SELECT CAST(ts AS DATE) AS date, 'line_' || (user_id % 5) AS pipeline_name, 'flow_' || (user_id % 3) AS flow_name,
             'set_' || (user_id % 7) AS dataset_name, COUNT(*) AS event_count,
-            COUNT(DISTINCT event_id // 10) AS update_count, {r2(ratio('SUM(minutes)', 'COUNT(minutes)'))} AS avg_duration_minutes,
+            COUNT(DISTINCT event_id // 10) AS update_count, {r2(ratio(total('minutes'), 'COUNT(minutes)'))} AS avg_duration_minutes,
             {rows_where("event_type = 'error'")} AS error_count,
             CASE WHEN {rows_where("event_type = 'error'")} = 0 THEN 'GREEN'
               WHEN {rows_where("event_type = 'error'")} <= 2 THEN 'YELLOW' ELSE 'RED' END AS health_status,

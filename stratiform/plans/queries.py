@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratiform.functions.measures import exact_sum
 from stratiform.operators import cdc, conformance, gold, governance, history, ledger, quality, silver
 from stratiform.operators.bronze import bronze
 from stratiform.operators.calendar import date_dimension, days_of
@@ -61,7 +62,7 @@ def typed_csv_load(spark, sf_dir):
         .agg(
             F.count(F.lit(1)).alias("row_count"),
             F.sum("quantity").alias("units"),
-            F.sum(F.col("total_amount").cast("decimal(18,6)")).cast("double").alias("total_amount"),
+            exact_sum(F.col("total_amount")).cast("double").alias("total_amount"),
         )
     )
 
@@ -203,6 +204,21 @@ def silver_transactions(spark, sf_dir):
     return silver.silver_transactions(src.raw_transactions(spark, sf_dir), src.AUDIT_TS)
 
 
+@query
+def silver_transactions_stream(spark, sf_dir):
+    """Raw files to a raw table to a validated table, both kept by streams."""
+    folder = work_folder(spark, "silver-stream")
+    rows = src.raw_transactions(spark, sf_dir)
+    rows.write.parquet(f"{folder}/in")
+    raw = read_stream(spark, "parquet", rows.schema, f"{folder}/in")
+    raw = ingest.bronze_stream(raw, ["transaction_id", "article_id"], src.AUDIT_TS, "pos", source_file=False)
+    ingest.append(raw, f"{folder}/bronze", f"{folder}/checkpoint-bronze").awaitTermination()
+    upstream = read_stream(spark, "parquet", raw.schema, f"{folder}/bronze")
+    checked = silver.silver_transactions(upstream, src.AUDIT_TS)
+    ingest.append(checked, f"{folder}/silver", f"{folder}/checkpoint-silver").awaitTermination()
+    return spark.read.parquet(f"{folder}/silver")
+
+
 @query
 def expectation_report(spark, sf_dir):
     columns = src.raw_transactions(spark, sf_dir).select(*silver.transaction_columns())

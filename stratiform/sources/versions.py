@@ -54,13 +54,18 @@ def read_current(
         return spark.createDataFrame([], schema)
     if before is not None:
         commits = commits.filter(F.col("version") < before)
-        rows = rows.filter(F.col("version") < before)
     if buckets is not None:
         commits = commits.filter(F.col("bucket").isin(*buckets))
-        rows = rows.filter(F.col("bucket").isin(*buckets))
-    # one row per bucket, so the broadcast is bounded by the number of buckets
-    newest = commits.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").select(*schema.names)
+    # at most one row per bucket comes to the driver; as plain partition filters these values keep
+    # superseded versions out of the scan
+    newest = commits.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    by_version: dict[int, list[int]] = {}
+    for row in newest:
+        by_version.setdefault(row.version, []).append(row.bucket)
+    live = F.lit(False)
+    for version, numbers in sorted(by_version.items()):
+        live = live | ((F.col("version") == version) & F.col("bucket").isin(*sorted(numbers)))
+    return rows.filter(live).select(*schema.names)
 
 
 def rewrite_current(spark: SparkSession, path: str, schema: T.StructType, target: str) -> None:

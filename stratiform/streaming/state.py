@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stratiform.operators.history import CONTROL_COLUMNS, END, START, scd1, scd2
 from stratiform.sources.versions import read_current, touched_buckets, with_bucket, write_version
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def _run(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
