@@ -88,6 +88,34 @@ def star_join(
     return facts
 
 
+def sales_totals(
+    sales: DataFrame, dimensions: Sequence[str | Column], totals: Mapping[str, Column], approximate: bool
+) -> DataFrame:
+    """Transactions, units, customers and exact totals of sales lines by `dimensions`.
+
+    A transaction belongs to one customer, so the exact form counts the transactions of each customer
+    and then adds them up: two groupings in place of the copy of every row that two distinct counts in
+    one grouping need. The approximate form keeps a sketch of customers and groups once.
+    """
+    sums = {"total_units_sold": F.sum("quantity"), "_rows": F.count("total_amount")}
+    sums |= {name: exact_sum(value) for name, value in totals.items()}
+    columns = [column.alias(name) for name, column in sums.items()]
+    transactions = F.count_distinct("transaction_id").alias("transaction_count")
+    if approximate:
+        customers = distinct("customer_id", True).alias("unique_customers")
+        return sales.groupBy(*dimensions).agg(transactions, customers, *columns)
+    names = sales.select(*dimensions).columns
+    return (
+        sales.groupBy(*dimensions, "customer_id")
+        .agg(transactions, *columns)
+        .groupBy(*names)
+        .agg(
+            F.count("customer_id").alias("unique_customers"),
+            *[F.sum(c).alias(c) for c in ("transaction_count", *sums)],
+        )
+    )
+
+
 def retail_performance(
     transactions: DataFrame,
     articles: DataFrame,
@@ -98,21 +126,29 @@ def retail_performance(
     approximate: bool = True,
 ) -> DataFrame:
     """Sales and profit by day, calendar, article and region, with a performance band."""
-    revenue = exact_sum(F.col("total_amount"))
-    cost = exact_sum(F.col("quantity") * F.col("base_cost"))
     joined = star_join(
         transactions,
         articles.select("article_id", "base_cost", *article_dimensions),
         calendar.select("date_key", *calendar_dimensions),
     )
-    out = joined.groupBy(
-        F.col("transaction_date").alias("date"), *calendar_dimensions, *article_dimensions, "region"
-    ).agg(
-        F.count_distinct("transaction_id").alias("transaction_count"),
-        F.sum("quantity").alias("total_units_sold"),
-        distinct("customer_id", approximate).alias("unique_customers"),
+    day = F.col("transaction_date").alias("date")
+    totals = sales_totals(
+        joined,
+        [day, *calendar_dimensions, *article_dimensions, "region"],
+        {"_revenue": F.col("total_amount"), "_cost": F.col("quantity") * F.col("base_cost")},
+        approximate,
+    )
+    revenue, cost = F.col("_revenue"), F.col("_cost")
+    out = totals.select(
+        "date",
+        *calendar_dimensions,
+        *article_dimensions,
+        "region",
+        "transaction_count",
+        "total_units_sold",
+        "unique_customers",
         money(revenue).alias("gross_revenue"),
-        rounded_ratio(revenue, F.count("total_amount")).alias("avg_transaction_value"),
+        rounded_ratio(revenue, F.col("_rows")).alias("avg_transaction_value"),
         money(cost).alias("total_cost"),
         money(revenue - cost).alias("gross_profit"),
         rounded_ratio(revenue - cost, revenue, 100).alias("profit_margin_pct"),
@@ -125,32 +161,34 @@ def category_performance(
     transactions: DataFrame, articles: DataFrame, audit_ts: datetime, approximate: bool = True
 ) -> DataFrame:
     """Transactions, units, customers, revenue, profit and ratios by day, category, region, channel."""
-    gross = exact_sum(F.col("total_amount"))
-    net = exact_sum(F.col("net_amount"))
-    profit = net - exact_sum(F.col("quantity") * F.col("base_cost"))
-    customers = distinct("customer_id", approximate)
-    sales = F.count_distinct("transaction_id")
     joined = star_join(
         transactions, articles.select("article_id", "base_cost", "department", "category", "subcategory")
     )
-    out = joined.groupBy(
-        F.col("transaction_date").alias("sale_date"),
-        "department",
-        "category",
-        "subcategory",
-        "region",
-        "sales_channel",
-    ).agg(
-        sales.alias("transaction_count"),
-        F.sum("quantity").alias("total_units_sold"),
-        customers.alias("unique_customers"),
+    dimensions = ["department", "category", "subcategory", "region", "sales_channel"]
+    totals = sales_totals(
+        joined,
+        [F.col("transaction_date").alias("sale_date"), *dimensions],
+        {
+            "_gross": F.col("total_amount"),
+            "_net": F.col("net_amount"),
+            "_cost": F.col("quantity") * F.col("base_cost"),
+        },
+        approximate,
+    )
+    gross, net, profit = F.col("_gross"), F.col("_net"), F.col("_net") - F.col("_cost")
+    out = totals.select(
+        "sale_date",
+        *dimensions,
+        "transaction_count",
+        "total_units_sold",
+        "unique_customers",
         money(gross).alias("gross_revenue"),
         money(net).alias("net_revenue"),
-        rounded_ratio(gross, F.count("total_amount")).alias("avg_transaction_value"),
+        rounded_ratio(gross, F.col("_rows")).alias("avg_transaction_value"),
         money(profit).alias("gross_profit"),
         rounded_ratio(profit, net, 100).alias("profit_margin_pct"),
-        rounded_ratio(F.sum("quantity"), sales).alias("units_per_transaction"),
-        rounded_ratio(net, customers).alias("revenue_per_customer"),
+        rounded_ratio(F.col("total_units_sold"), F.col("transaction_count")).alias("units_per_transaction"),
+        rounded_ratio(net, F.col("unique_customers")).alias("revenue_per_customer"),
     )
     return with_audit(out, audit_ts, GOLD_SOURCE)
 
@@ -230,19 +268,31 @@ def exploded_metrics(
 ) -> DataFrame:
     """Metrics per array element and dimension; NULL arrays are left out.
 
-    An element repeated in one array adds its amount twice to the total and its key once to the count.
-    `collect` names a column of few values whose sorted set is shown per group.
+    `key` identifies a row of `df`. An element repeated in one array adds its amount twice to the
+    total and its key once to the count. `collect` names a column of few values whose sorted set is
+    shown per group: it is grouped by first, so that the sets are built from few rows.
     """
     extra = [collect] if collect else []
     exploded = df.filter(F.col(array).isNotNull()).select(
         key, dimension, amount, *extra, F.explode(array).alias(element)
     )
-    total = exact_sum(F.col(amount))
-    columns = [
-        F.count_distinct(key).alias(f"{noun}_count"),
-        money(total).alias("total_amount"),
-        rounded_ratio(total, F.count(amount)).alias("avg_amount"),
-    ]
+    count = f"{noun}_count"
+    grouped = exploded.groupBy(element, dimension, *extra).agg(
+        F.count_distinct(key).alias(count),
+        exact_sum(F.col(amount)).alias("_total"),
+        F.count(amount).alias("_rows"),
+    )
     if collect:
-        columns.append(F.array_sort(F.collect_set(collect)).alias(f"{collect}_set"))
-    return exploded.groupBy(element, dimension).agg(*columns)
+        grouped = grouped.groupBy(element, dimension).agg(
+            *[F.sum(c).alias(c) for c in (count, "_total", "_rows")],
+            F.array_sort(F.collect_set(collect)).alias(f"{collect}_set"),
+        )
+    total = F.col("_total")
+    return grouped.select(
+        element,
+        dimension,
+        count,
+        money(total).alias("total_amount"),
+        rounded_ratio(total, F.col("_rows")).alias("avg_amount"),
+        *[f"{c}_set" for c in extra],
+    )
