@@ -68,7 +68,9 @@ def read_current(
     return rows.filter(live).select(*schema.names)
 
 
-def rewrite_current(spark: SparkSession, path: str, schema: T.StructType, target: str) -> None:
+def rewrite_current(
+    spark: SparkSession, path: str, schema: T.StructType, target: str, keys: Sequence[str], buckets: int
+) -> None:
     """Copy the current rows to a fresh folder as its version 0, leaving superseded versions behind."""
-    current = read_current(spark, path, schema)
-    write_version(current, target, 0, touched_buckets(current))
+    current = with_bucket(read_current(spark, path, schema), keys, buckets)
+    write_version(current, target, 0, range(buckets))
