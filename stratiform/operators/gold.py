@@ -46,10 +46,13 @@ def daily_summary(
     flag: str | None = "data_quality_flag",
     approximate: bool = True,
     with_entities: bool = True,
+    watermark: str | None = None,
 ) -> DataFrame:
     """Volumes, revenue, ratios and percentages by day and dimensions.
 
-    `with_entities=False` leaves out the three columns that need distinct entities.
+    `with_entities=False` leaves out the three columns that need distinct entities. On a stream a
+    `watermark` such as "2 days" closes a day once it has passed, which drops its state and allows
+    append mode; `day` must then be a timestamp.
     """
     total = exact_sum(F.col(amount))
     rows = F.count(F.lit(1))
@@ -68,7 +71,12 @@ def daily_summary(
         columns.append(rate_pct(condition).alias(f"{name}_rate_pct"))
     if flag:
         columns.append(clean_rate_pct(flag).alias("clean_data_rate_pct"))
-    out = df.groupBy(day.cast("date").alias("date"), *dimensions).agg(*columns)
+    if watermark is None:
+        out = df.groupBy(day.cast("date").alias("date"), *dimensions).agg(*columns)
+    else:
+        timed = df.withColumn("_time", day).withWatermark("_time", watermark)
+        grouped = timed.groupBy(F.window("_time", "1 day"), *dimensions).agg(*columns)
+        out = grouped.select(F.col("window.start").cast("date").alias("date"), *grouped.columns[1:])
     return with_audit(out, audit_ts, GOLD_SOURCE)
 
 
@@ -265,22 +273,30 @@ def exploded_metrics(
     element: str,
     noun: str,
     collect: str | None = None,
+    key_is_unique: bool = False,
 ) -> DataFrame:
     """Metrics per array element and dimension; NULL arrays are left out.
 
-    `key` identifies a row of `df`. An element repeated in one array adds its amount twice to the
-    total and its key once to the count. `collect` names a column of few values whose sorted set is
-    shown per group: it is grouped by first, so that the sets are built from few rows.
+    An element repeated in one array adds its amount twice to the total and its key once to the count.
+    `collect` names a column of few values, fixed by the key, whose sorted set is shown per group: it is
+    grouped by first, so that the sets are built from few rows.
+
+    Where the key is unique, a row's keys are counted inside the row: the array and its distinct
+    elements are exploded side by side, and no (element, key) pair has to be shuffled.
     """
     extra = [collect] if collect else []
-    exploded = df.filter(F.col(array).isNotNull()).select(
-        key, dimension, amount, *extra, F.explode(array).alias(element)
-    )
+    present = df.filter(F.col(array).isNotNull())
+    if key_is_unique:
+        both = present.select(dimension, amount, *extra, F.posexplode(F.array(array, F.array_distinct(array))))
+        exploded = both.select(dimension, *extra, "pos", amount, F.explode("col").alias(element))
+        used = F.when(F.col("pos") == 0, F.col(amount))
+        keys = F.count_if(F.col("pos") == 1)
+    else:
+        exploded = present.select(key, dimension, amount, *extra, F.explode(array).alias(element))
+        used, keys = F.col(amount), F.count_distinct(key)
     count = f"{noun}_count"
     grouped = exploded.groupBy(element, dimension, *extra).agg(
-        F.count_distinct(key).alias(count),
-        exact_sum(F.col(amount)).alias("_total"),
-        F.count(amount).alias("_rows"),
+        keys.alias(count), exact_sum(used).alias("_total"), F.count(used).alias("_rows")
     )
     if collect:
         grouped = grouped.groupBy(element, dimension).agg(

@@ -336,7 +336,9 @@ def flow_health(spark, sf_dir):
 def exploded_metrics(spark, sf_dir):
     """Words of whole documents by source, with the languages each word occurs in."""
     documents = src.table(spark, sf_dir, "documents").withColumn("words", F.split("text", " "))
-    out = gold.exploded_metrics(documents, "doc_id", "source", "n_chars", "words", "word", "document", "lang")
+    out = gold.exploded_metrics(
+        documents, "doc_id", "source", "n_chars", "words", "word", "document", "lang", key_is_unique=True
+    )
     return out.withColumn("lang_set", F.array_join("lang_set", ","))
 
 

@@ -7,12 +7,12 @@ repeated run overwrites its own version. Readers take the newest version of each
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 _COMMITS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
 
@@ -68,6 +68,27 @@ def read_current(
     return rows.filter(live).select(*schema.names)
 
 
+def rewrite_buckets(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    buckets: int,
+    version: int,
+    touched: DataFrame,
+    change: Callable[[DataFrame], DataFrame],
+) -> None:
+    """Insert, update or delete rows: `change` maps the old rows to the new rows of the touched buckets.
+
+    `touched` holds the keys of the rows that may change. Buckets without such a key are neither read
+    nor written.
+    """
+    numbers = touched_buckets(with_bucket(touched.select(*keys), keys, buckets))
+    if numbers:
+        old = read_current(spark, path, schema, version, numbers)
+        write_version(with_bucket(change(old), keys, buckets), path, version, numbers)
+
+
 def rewrite_current(
     spark: SparkSession, path: str, schema: T.StructType, target: str, keys: Sequence[str], buckets: int
 ) -> None:

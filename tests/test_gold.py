@@ -109,11 +109,13 @@ def test_repeated_element_counts_key_once(spark):
         [(1, "x", 10.0, ["a", "a", None], "en"), (2, "x", 5.0, ["a"], "de"), (3, "x", 1.0, [], "en"), (4, "x", 1.0, None, "en")],
         "id int, dim string, amount double, tags array<string>, lang string",
     )
-    out = gold.exploded_metrics(df, "id", "dim", "amount", "tags", "tag", "row", "lang")
-    assert rows(out) == [("a", "x", 2, 25.0, 8.33, ["de", "en"]), (None, "x", 1, 10.0, 10.0, ["en"])]
-    assert rows(gold.exploded_metrics(df, "id", "dim", "amount", "tags", "tag", "row")) == [
-        ("a", "x", 2, 25.0, 8.33), (None, "x", 1, 10.0, 10.0),
-    ]
+    for unique in (False, True):
+        out = gold.exploded_metrics(df, "id", "dim", "amount", "tags", "tag", "row", "lang", unique)
+        assert rows(out) == [("a", "x", 2, 25.0, 8.33, ["de", "en"]), (None, "x", 1, 10.0, 10.0, ["en"])]
+        out = gold.exploded_metrics(df, "id", "dim", "amount", "tags", "tag", "row", key_is_unique=unique)
+        assert rows(out) == [("a", "x", 2, 25.0, 8.33), (None, "x", 1, 10.0, 10.0)]
+    twice = gold.exploded_metrics(df.unionByName(df), "id", "dim", "amount", "tags", "tag", "row")
+    assert rows(twice)[0][2] == 2
 
 
 def test_flow_performance(spark, audit_ts):

@@ -21,7 +21,7 @@ from stratiform.sources.tables import (
     write_files,
     write_table,
 )
-from stratiform.sources.versions import read_current, rewrite_current, with_bucket, write_version
+from stratiform.sources.versions import read_current, rewrite_buckets, rewrite_current, with_bucket, write_version
 from stratiform.specs import ALL_SPECS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS, TRANSACTIONS_KEYED
 
 HEADER = ",".join(TRANSACTIONS.columns)
@@ -194,6 +194,25 @@ def test_versions(spark):
     assert {r.id: r.v for r in read_current(spark, path + "-copy", schema).collect()} == now
 
 
+def test_keyed_ledger_rewrites(spark):
+    path = work_folder(spark, "ledger")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
+
+    def rewrite(version, touched, change):
+        rewrite_buckets(spark, path, schema, ["id"], 8, version, touched, change)
+
+    new = spark.createDataFrame([(i, "a") for i in range(10)], schema)
+    rewrite(0, new, lambda old: old.unionByName(new))
+    updates = spark.createDataFrame([(3, "b")], schema)
+    for _ in range(2):
+        rewrite(1, updates, lambda old: update_by_key(old, updates, "id", ["v"]))
+    gone = F.col("v") == "b"
+    assert rows(read_current(spark, path, schema).filter(gone)) == [(3, "b")]
+    rewrite(2, read_current(spark, path, schema).filter(gone), lambda old: delete_where(old, gone))
+    rewrite(3, new.limit(0), lambda old: old)
+    assert rows(read_current(spark, path, schema)) == sorted([(i, "a") for i in range(10) if i != 3], key=repr)
+
+
 def test_unpublished_version_is_invisible(spark):
     path = work_folder(spark, "versions")
     schema = T.StructType([T.StructField("id", T.LongType())])
