@@ -156,6 +156,11 @@ def scd2_collapsed(spark, sf_dir):
     return history.scd2(changes, ["user_id"], "cdc_timestamp", ["event_id"], collapse_unchanged=True)
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Key buckets for a result made in one run; a table that lives on must keep its number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _change_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     src.change_rows(spark, sf_dir).write.parquet(f"{folder}/in")
     return read_stream(spark, "parquet", src.CHANGE_ROW, f"{folder}/in")
@@ -166,7 +171,13 @@ def scd1_stream(spark, sf_dir):
     folder = work_folder(spark, "scd1")
     changes = _change_stream(spark, sf_dir, folder)
     state.scd1_stream(
-        changes, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], "cdc_timestamp", ["event_id"]
+        changes,
+        f"{folder}/out",
+        f"{folder}/checkpoint",
+        ["user_id"],
+        "cdc_timestamp",
+        ["event_id"],
+        _buckets(spark),
     ).awaitTermination()
     return state.scd1_state(spark, f"{folder}/out", src.CHANGE_ROW)
 
@@ -176,7 +187,13 @@ def scd2_stream(spark, sf_dir):
     folder = work_folder(spark, "scd2")
     changes = _change_stream(spark, sf_dir, folder)
     state.scd2_stream(
-        changes, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], "cdc_timestamp", ["event_id"]
+        changes,
+        f"{folder}/out",
+        f"{folder}/checkpoint",
+        ["user_id"],
+        "cdc_timestamp",
+        ["event_id"],
+        _buckets(spark),
     ).awaitTermination()
     return state.scd2_state(spark, f"{folder}/out", src.CHANGE_ROW, "cdc_timestamp")
 
@@ -323,7 +340,9 @@ def daily_summary_stream(spark, sf_dir):
     stream = read_stream(spark, "parquet", events.schema, f"{sf_dir}/events.parque[t]")
     summary = _daily(src.measured_events(stream), with_entities=False)
     keys = ["date", "channel", "tier"]
-    state.aggregate_stream(summary, f"{folder}/out", f"{folder}/checkpoint", keys).awaitTermination()
+    state.aggregate_stream(
+        summary, f"{folder}/out", f"{folder}/checkpoint", keys, _buckets(spark)
+    ).awaitTermination()
     return state.aggregate_state(spark, f"{folder}/out", summary.schema)
 
 
