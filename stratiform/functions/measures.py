@@ -88,6 +88,11 @@ def cast_failed(name: str, kind: str) -> Column:
     return F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()
 
 
+def is_true(condition: Column) -> Column:
+    """A flag that is TRUE or FALSE, never NULL."""
+    return F.coalesce(condition, F.lit(False))
+
+
 def date_key(day: Column) -> Column:
     """A date as the number YYYYMMDD."""
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("bigint")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.functions.measures import date_key
+from stratiform.session import setting
 from stratiform.sources.files import read_csv
 from stratiform.specs import TableSpec
 
@@ -58,19 +58,6 @@ def write_files(
     writer.option("partitionOverwriteMode", mode).parquet(path)
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def write_table(
     df: DataFrame, spec: TableSpec, table: str, overwrite: bool = True, only_given_partitions: bool = False
 ) -> None:
@@ -79,7 +66,7 @@ def write_table(
     rows = laid_out(align_to_schema(df, spec.schema), spec.partition_by, spec.cluster_by)
     stored = spark.table(table).columns
     mode = "dynamic" if only_given_partitions else "static"
-    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
+    with setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
         rows.select(*stored).write.insertInto(table, overwrite=overwrite)
 
 

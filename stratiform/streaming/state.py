@@ -14,14 +14,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.operators.history import CONTROL_COLUMNS, END, START, scd1, scd2
+from stratiform.session import setting
 from stratiform.sources.versions import read_current, touched_buckets, with_bucket, write_version
 
 BUCKETS = 64
 
 
 def _run(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
+    def adaptive(batch: DataFrame, batch_id: int) -> None:
+        # Spark turns AQE off for streams with state; the writes of a batch are batch jobs and need it
+        # to split big buckets. The stream's own plan is fixed by the time the batch arrives.
+        with setting(batch.sparkSession, "spark.sql.adaptive.enabled", "true"):
+            body(batch, batch_id)
+
     return (
-        stream.writeStream.foreachBatch(body)
+        stream.writeStream.foreachBatch(adaptive)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

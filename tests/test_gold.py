@@ -3,7 +3,7 @@ from datetime import date, datetime
 from conftest import rows
 from pyspark.sql import functions as F
 
-from stratiform.functions.measures import exact_sum, recent, share_pct
+from stratiform.functions.measures import cast_failed, exact_sum, is_true, recent, share_pct, tried
 from stratiform.operators import gold
 from stratiform.operators.calendar import date_dimension, days_between
 
@@ -145,3 +145,9 @@ def test_small_expressions(spark):
     assert [r[0] for r in df.select(share_pct(F.col("a"), F.col("b"))).collect()] == [0.0, 25.0]
     days = spark.createDataFrame([(date(2024, 1, 11),), (date(2024, 1, 10),)], "d date")
     assert days.filter(recent(F.col("d"), F.lit(date(2024, 2, 10)), 30)).count() == 1
+
+
+def test_flags_and_casts(spark):
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "v string")
+    out = df.select(tried("v", "int"), cast_failed("v", "int").alias("bad"), is_true(F.col("v") == "1").alias("one"))
+    assert [tuple(r) for r in out.collect()] == [(1, False, True), (None, True, False), (None, False, False)]
