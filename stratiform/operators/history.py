@@ -6,7 +6,8 @@ sequence with a tie-break, so arrival order does not matter.
 One key may hold a large share of all rows. Type 1 is an aggregate that combines before the shuffle.
 Type 2 needs the next version of each row; a window by key alone would put a hot key in one task, so
 rows of hot keys are cut into slices of the sequence, each slice is its own window, and the last row
-of a slice gets its successor from a small table of slice edges.
+of a slice gets its successor from a small table of slice edges. Hot keys are looked for when the
+operator is called, by a count over the key column; without any, the plan has plain windows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.session import work_folder
+
 START, END = "__START_AT", "__END_AT"
 CONTROL_COLUMNS = ("cdc_operation", "cdc_timestamp", "cdc_timestamp_ms")
 
@@ -72,10 +75,13 @@ def scd2(
     the version before it and has no row itself. With `collapse_unchanged` a version equal to its
     predecessor in all tracked columns is merged into it. Rows with a NULL key belong in quarantine.
     """
+    versions = _one_per_sequence(changes, keys, sequence, tie)
     cuts = _cut_points(changes, keys, sequence, hot_rows)
-    versions = _sliced(_one_per_sequence(changes, keys, sequence, tie), cuts, keys, sequence)
-    # slice edges come straight from the log rows of hot keys: copies do not move a first or last row
-    hot = _sliced(changes, cuts, keys, sequence, hot_only=True)
+    hot = None
+    if cuts is not None:
+        versions = _sliced(versions, cuts, keys, sequence, "left")
+        # slice edges come straight from the log rows of hot keys: copies do not move a first or last row
+        hot = _sliced(changes, cuts, keys, sequence, "inner")
     if collapse_unchanged:
         skipped = {*keys, sequence, *tie, *exclude, *untracked}
         state = F.struct(
@@ -83,12 +89,17 @@ def scd2(
             *[c for c in changes.columns if c not in skipped],
         )
         order = [sequence, *_tie_columns(changes, keys, sequence, tie)]
-        last = hot.groupBy(*keys, "_slice").agg(F.max_by(state, F.struct(*order)).alias("_edge"))
+        last = None
+        if hot is not None:
+            last = hot.groupBy(*keys, "_slice").agg(F.max_by(state, F.struct(*order)).alias("_edge"))
         versions = _neighbour(versions, last, keys, sequence, state, "_previous", step=-1)
         versions = versions.filter(F.col("_previous").isNull() | ~state.eqNullSafe(F.col("_previous")))
         versions = versions.drop("_previous")
-        hot = versions.filter(F.col("_slice").isNotNull())
-    first = hot.groupBy(*keys, "_slice").agg(F.min(sequence).alias("_edge"))
+        if hot is not None:
+            hot = versions.filter(F.col("_slice").isNotNull())
+    first = None
+    if hot is not None:
+        first = hot.groupBy(*keys, "_slice").agg(F.min(sequence).alias("_edge"))
     versions = _neighbour(versions, first, keys, sequence, F.col(sequence), END, step=1)
     if operation:
         versions = versions.filter(~F.col(operation).eqNullSafe("d"))
@@ -108,43 +119,59 @@ def _one_per_sequence(df: DataFrame, keys: Sequence[str], sequence: str, tie: Se
     return df.groupBy(*ids).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*ids, "_row.*")
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], sequence: str, hot_rows: int) -> DataFrame:
-    """Cut points of the sequence for each hot key; reads the key and sequence columns only."""
+def _cut_points(df: DataFrame, keys: Sequence[str], sequence: str, hot_rows: int) -> DataFrame | None:
+    """Cut points of the sequence for each hot key, or None when no key is hot.
+
+    Reads the key column, and the sequence too where a key is hot. The few rows are written to the
+    shared folder: approximate quantiles may differ from run to run, and every use must see the same
+    slices, also after a lost executor.
+    """
+    spark = df.sparkSession
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = (
         counts.filter(F.col("_rows") >= hot_rows).orderBy(F.col("_rows").desc()).limit(HOT_KEYS).drop("_rows")
     )
     steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    return (
+    cuts = (
         df.select(*keys, sequence)
         .join(F.broadcast(hot), list(keys))
         .groupBy(*keys)
         .agg(F.percentile_approx(sequence, steps, 100 * SLICES).alias("_cuts"))
     )
+    folder = work_folder(spark, "cuts")
+    cuts.write.parquet(folder)
+    stored = spark.read.schema(cuts.schema).parquet(folder)
+    return None if stored.isEmpty() else stored
 
 
-def _sliced(
-    df: DataFrame, cuts: DataFrame, keys: Sequence[str], sequence: str, hot_only: bool = False
-) -> DataFrame:
+def _sliced(df: DataFrame, cuts: DataFrame, keys: Sequence[str], sequence: str, how: str) -> DataFrame:
     """Slice number of each row: how many cut points lie at or before it, NULL where the key is not hot."""
     before = F.size(F.filter("_cuts", lambda cut: cut <= F.col(sequence)))
     return (
-        df.join(F.broadcast(cuts), list(keys), "inner" if hot_only else "left")
+        df.join(F.broadcast(cuts), list(keys), how)
         .withColumn("_slice", F.when(F.col("_cuts").isNotNull(), before))
         .drop("_cuts")
     )
 
 
 def _neighbour(
-    df: DataFrame, edges: DataFrame, keys: Sequence[str], sequence: str, value: Column, target: str, step: int
+    df: DataFrame,
+    edges: DataFrame | None,
+    keys: Sequence[str],
+    sequence: str,
+    value: Column,
+    target: str,
+    step: int,
 ) -> DataFrame:
     """Add `target`: the value in the next (1) or previous (-1) row of the key.
 
     `edges` has one `_edge` per slice of a hot key, so at most HOT_KEYS * SLICES rows.
     """
+    look = F.lead if step > 0 else F.lag
+    if edges is None:
+        return df.withColumn(target, look(value, 1).over(Window.partitionBy(*keys).orderBy(sequence)))
     by_slice = Window.partitionBy(*keys, "_slice").orderBy(sequence)
     by_key = Window.partitionBy(*keys).orderBy("_slice")
-    look = F.lead if step > 0 else F.lag
     across = edges.select(*keys, "_slice", look("_edge", 1).over(by_key).alias("_across"))
     return (
         df.withColumn("_inside", look(value, 1).over(by_slice))

@@ -73,3 +73,10 @@ def test_changes_are_parsed_once(plans):
 def test_first_submission_combines_before_the_shuffle(plans):
     assert "partial_min_by" in plans["ledger_submit"]
     assert "partial_max_by" in plans["scd1_current"]
+
+
+def test_history_without_hot_keys_has_plain_windows(plans):
+    """One shuffle merges copies of (key, sequence), one brings the versions of a key together."""
+    text = plans["scd2_history"]
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
+    assert "Join" not in text
