@@ -133,19 +133,19 @@ def retail_performance(
     article_dimensions: Sequence[str] = ("department", "category"),
     approximate: bool = True,
 ) -> DataFrame:
-    """Sales and profit by day, calendar, article and region, with a performance band."""
-    joined = star_join(
-        transactions,
-        articles.select("article_id", "base_cost", *article_dimensions),
-        calendar.select("date_key", *calendar_dimensions),
-    )
+    """Sales and profit by day, calendar, article and region, with a performance band.
+
+    A day has one calendar row, so the calendar joins the totals of a day and not its sales lines.
+    """
+    joined = star_join(transactions, articles.select("article_id", "base_cost", *article_dimensions))
     day = F.col("transaction_date").alias("date")
     totals = sales_totals(
         joined,
-        [day, *calendar_dimensions, *article_dimensions, "region"],
+        [day, "date_key", *article_dimensions, "region"],
         {"_revenue": F.col("total_amount"), "_cost": F.col("quantity") * F.col("base_cost")},
         approximate,
     )
+    totals = star_join(totals, calendar=calendar.select("date_key", *calendar_dimensions))
     revenue, cost = F.col("_revenue"), F.col("_cost")
     out = totals.select(
         "date",
