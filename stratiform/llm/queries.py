@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import decontaminate, quality_fm
+from stratiform.llm import decontaminate, quality_fm, simhash_vp
 from stratiform.llm.frames import held_out, table
 
 
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_vp.hex16("fp").alias("fingerprint"), "component_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,5 +32,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_simhash": op4_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
