@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared folder, as a URI that tasks can open themselves."""
+    path = work_folder(spark, label)
+    return path if "://" in path or path.startswith("file:") or not spark.sparkContext.getCheckpointDir() else f"{spark.sparkContext.getCheckpointDir()}/{path.rsplit('/', 1)[1]}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = work_folder(df.sparkSession, label)

@@ -23,4 +23,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE = {"op10_decontaminate": OP10}
+# base32 of the SHA-1: five bits at a time from two hex digits
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((((strpos('0123456789abcdef', substr(x, 5 * i // 4 + 1, 1)) - 1) * 16
+  + coalesce(nullif(strpos('0123456789abcdef', substr(x, 5 * i // 4 + 2, 1)), 0), 1) - 1) >> (3 - i % 4)) & 31)::INT, 1)
+  FOR i IN range(32)], '') AS payload_digest FROM p),
+m AS (SELECT payload_digest, n, max(page_id) AS top FROM d GROUP BY 1, 2)
+SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d JOIN m USING (payload_digest, n)
+"""
+
+ORACLE = {"op3_warc": OP3, "op10_decontaminate": OP10}

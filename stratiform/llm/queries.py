@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import decontaminate, quality_fm, simhash_vp
+from stratiform.llm import decontaminate, license_ac, quality_fm, simhash_vp, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -17,11 +17,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc_bundles.read_bundles(*warc_bundles.write_bundles(pages))
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_vp.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_ac.licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -32,6 +43,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op10_decontaminate": op10_decontaminate,
 }

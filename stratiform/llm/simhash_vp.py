@@ -46,17 +46,13 @@ INSIDE = word_bytes("space")
 
 def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle; a row of fewer than k words, but one at least, is one shingle."""
-    size = words.end - words.start
-    place = np.cumsum(size + 1) - size - 1
-    joined = np.full(int(size.sum() + len(size)), 32, np.uint8)
-    joined[np.flatnonzero(np.ones(int(size.sum()), bool)) + np.repeat(np.arange(len(size)), size)] = words.data[INSIDE[words.data]]
-    joined = joined.tobytes()
+    joined, place, stop = words.joined()
     many = np.maximum(words.n - k + 1, np.minimum(words.n, 1))
     row = np.repeat(np.arange(len(many)), many)
     first = words.first[row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]
     last = np.minimum(first + k, words.first[row + 1]) - 1
     digest = xxhash.xxh64_intdigest
-    begin, end = place[first].tolist(), (place[last] + size[last]).tolist()
+    begin, end = place[first].tolist(), stop[last].tolist()
     return row, np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], np.uint64)
 
 

@@ -76,7 +76,7 @@ class Words:
     """Words of a run of rows. `row` counts from 0 in the run; `first` has one entry a row and one more."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.inside = data, offsets, inside
         word = np.zeros(len(data) + 2, bool)
         word[1:-1] = inside[data]
         at_row = np.zeros(len(data) + 1, bool)
@@ -93,6 +93,14 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words with one space after each; where each begins and ends there."""
+        size = self.end - self.start
+        place = np.cumsum(size + 1) - size - 1
+        out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = self.data[self.inside[self.data]]
+        return out.tobytes(), place, place + size
+
     def windows(self, hashes: np.ndarray, k: int, poly: Poly = POLY) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every window of k words within one row."""
         n = len(hashes) - k + 1
