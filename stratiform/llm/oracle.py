@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stratiform.llm import line_rules
+
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED = r"[^\x20\x09-\x0D]+"
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,4 +38,35 @@ SELECT page_id, n::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id =
 FROM d JOIN m USING (payload_digest, n)
 """
 
-ORACLE = {"op3_warc": OP3, "op10_decontaminate": OP10}
+
+def symbols(text: str, characters: str) -> str:
+    return f"(length({text}) - length(translate({text}, '{characters}', '')))"
+
+
+SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINE = "100 * {0} <= {1} * length(x)"
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{SPACED}') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{line_rules.HAS_WORD}')) AS l FROM d),
+win AS (SELECT doc_id, i, hash(w[i:i + 4]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM
+  (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(list_distinct(l)) AS x FROM w),
+good AS (SELECT doc_id, sum(length(x)) AS n FROM lines WHERE regexp_matches(x, '{line_rules.ENDS.replace("'", "''")}')
+  AND {symbols("x", "|")} < 3 AND {LINE.format(symbols("x", line_rules.SYMBOLS), 10)} AND {LINE.format(symbols("x", "!"), 5)}
+  AND 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')))
+    <= 60 * (2 * length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) - length(regexp_replace(x, '[a-z]', '', 'g')))
+  AND NOT regexp_matches(x, '{line_rules.BOILERPLATE}')
+  AND (len(regexp_extract_all(x, '{SPACED}')) < 10
+    OR 100 * len(list_distinct(regexp_extract_all(x, '{SPACED}'))) >= 30 * len(regexp_extract_all(x, '{SPACED}'))) GROUP BY 1),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(translate(t, {SPACES}, ''))::BIGINT AS word_chars,
+  {symbols("t", line_rules.SYMBOLS)}::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS total, coalesce(good.n, 0) AS kept_chars
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN good USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (total - kept_chars) <= 50 * total AS kept FROM r
+"""
+
+ORACLE = {"op8_line_rules": OP8, "op3_warc": OP3, "op10_decontaminate": OP10}

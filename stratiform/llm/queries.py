@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import decontaminate, license_ac, quality_fm, simhash_vp, warc_bundles
+from stratiform.llm import decontaminate, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -33,6 +33,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_ac.licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_gbt.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.with_rules(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -46,5 +54,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
+    "op7_urls": op7_urls,
+    "op8_line_rules": op8_line_rules,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -222,7 +222,8 @@ def read_bundles(folder: str, index: DataFrame, with_payload: bool = False) -> D
         if reader:
             reader.close()
 
-    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, schema)
+    bundles = index.select("bundle").distinct().count()  # a task a bundle, however small the index
+    return index.repartition(max(bundles, 1), "bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, schema)
 
 
 def rows_of(out: list[tuple], names: list[str]) -> pa.RecordBatch:
