@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import decontaminate, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import debruijn, decontaminate, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -17,6 +18,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     records = warc_bundles.read_bundles(*warc_bundles.write_bundles(pages))
@@ -41,6 +47,10 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.with_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -51,10 +61,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substrings": op2_substrings,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
     "op7_urls": op7_urls,
     "op8_line_rules": op8_line_rules,
+    "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
 }
