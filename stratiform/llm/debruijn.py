@@ -157,6 +157,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
     marks = stored(sequences(slim), "sequences")
     firsts = marks.groupBy("digest", "n_words").agg(F.min("key").alias("source"), F.max("key").alias("last")).filter("last > source")
+    firsts = stored(firsts, "firsts")  # as a table, so that a join with a busy digest can be split
     copies = marks.filter(F.col("n_words") >= k).join(firsts.drop("last"), ["digest", "n_words"]).filter("key > source").select("key", "n_words").distinct()
     copies = stored(copies, "copies")
     counted = anchor_rows(slim, k, gram).withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("sure OR n > 1")

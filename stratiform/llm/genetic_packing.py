@@ -31,43 +31,71 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from stratiform.llm.frames import field, stored
-from stratiform.llm.words import Words, runs, word_bytes
+from stratiform.llm.words import Words, runs, spread, word_bytes
 
 CAPACITY = 4096
 END = 1
 SHARD = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 CACHE = 200_000
-RUN = 1 << 23
+RUN = 1 << 22
+GROUP = 400
+WORD_END, CLOSING = "</w>", b".,;:!?"
 INSIDE = word_bytes("space")
 
 
 class WordTokenizer:
-    """Ids of words, each tokenized by the library once while it stays in the cache."""
+    """Ids of words, each tokenized by the library once while it stays in the cache.
+
+    Letters with closing marks after them are two parts, which the tokenizer never joins; parts of letters alone are
+    tokenized many to a call, and the ids that end a word show where each stops.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: set[bytes]) -> None:
+        letters, others = [], []
+        for part in parts - self.parts.keys():
+            (letters if part.decode().isalpha() else others).append(part)
+        groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
+        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups]), strict=True):
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(group) or stop[-1] != len(ids):
+                others += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for part, end in zip(group, (4 * stop).tolist(), strict=True):
+                self.parts[part] = raw[at:end]
+                at = end
+        for low in range(0, len(others), 10_000):
+            some = others[low : low + 10_000]
+            self.parts.update(zip(some, (x.tobytes() for x in self.encode([p.decode() for p in some])), strict=True))
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a run, and the number of ids of each row."""
         _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
         distinct = [words.text(i) for i in first.tolist()]
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4")
-        parts = [self.known[w] for w in distinct]
-        size = np.array([len(x) for x in parts], np.int64)
-        if not len(size):
-            return np.zeros(0, "<u4"), np.zeros(len(words.n), np.int64)
-        flat, begin = np.concatenate(parts), np.cumsum(size) - size
-        own = size[place]
-        inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        return flat[np.repeat(begin[place], own) + inner], words.per_row(own)
+        if len(self.words) > CACHE or len(self.parts) > CACHE:
+            self.words, self.parts = {}, {}
+        split = {}
+        for word in distinct:
+            if word not in self.words:
+                core = word.rstrip(CLOSING)
+                split[word] = (core.lower(), word[len(core) :]) if core and core.decode().isalpha() else (word, b"")
+        self.learn({x for pair in split.values() for x in pair if x})
+        for word, (core, marks) in split.items():
+            self.words[word] = self.parts[core] + (self.parts[marks] if marks else b"")
+        flat, own = spread([self.words[w] for w in distinct], place)
+        return flat, words.per_row(own)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:

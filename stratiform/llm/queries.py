@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import debruijn, decontaminate, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import attention_lm, debruijn, decontaminate, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -39,6 +39,12 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_ac.licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = attention_lm.scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10), vocabulary)
+    return found.withColumn("held_out", held_out("doc_id", 10))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_gbt.judge(table(spark, sf_dir, "pages"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
+    "op6_lm": op6_lm,
     "op7_urls": op7_urls,
     "op8_line_rules": op8_line_rules,
     "op9_packing": op9_packing,
