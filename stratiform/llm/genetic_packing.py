@@ -37,7 +37,7 @@ CAPACITY = 4096
 END = 1
 SHARD = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
-CACHE = 200_000
+CACHE = 600_000
 RUN = 1 << 22
 GROUP = 400
 WORD_END, CLOSING = "</w>", b".,;:!?"
@@ -54,7 +54,6 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
@@ -84,17 +83,14 @@ class WordTokenizer:
         """Ids of all words of a run, and the number of ids of each row."""
         _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
         distinct = [words.text(i) for i in first.tolist()]
-        if len(self.words) > CACHE or len(self.parts) > CACHE:
-            self.words, self.parts = {}, {}
-        split = {}
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        split = []
         for word in distinct:
-            if word not in self.words:
-                core = word.rstrip(CLOSING)
-                split[word] = (core.lower(), word[len(core) :]) if core and core.decode().isalpha() else (word, b"")
-        self.learn({x for pair in split.values() for x in pair if x})
-        for word, (core, marks) in split.items():
-            self.words[word] = self.parts[core] + (self.parts[marks] if marks else b"")
-        flat, own = spread([self.words[w] for w in distinct], place)
+            core = word.rstrip(CLOSING)
+            split.append((core.lower(), word[len(core) :]) if core and core.decode().isalpha() else (word, b""))
+        self.learn({x for pair in split for x in pair if x})
+        flat, own = spread([self.parts[core] + self.parts[marks] if marks else self.parts[core] for core, marks in split], place)
         return flat, words.per_row(own)
 
 
