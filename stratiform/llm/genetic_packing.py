@@ -37,8 +37,8 @@ CAPACITY = 4096
 END = 1
 SHARD = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
-CACHE = 600_000
-RUN = 1 << 22
+CACHE = 300_000
+RUN = 1 << 21
 GROUP = 400
 WORD_END, CLOSING = "</w>", b".,;:!?"
 INSIDE = word_bytes("space")
