@@ -99,7 +99,7 @@ def prepare_submissions(requests: DataFrame, inv_tables: DataFrame, submitted_at
     for kind, name in FORMATS.items():
         request_format = F.when(F.col("change_type") == kind, F.lit(name)).otherwise(request_format)
     named = has_text(F.col("column_name"))
-    kinds = _as_assets(inv_tables, "table_type").dropDuplicates(ASSET)
+    kinds = _as_assets(inv_tables, "table_type").groupBy(*ASSET).agg(F.min("table_type").alias("table_type"))
     stamp = F.lit(submitted_at).cast("timestamp")
     rows = requests.join(kinds, ASSET, "left").select(
         "request_id",
@@ -226,7 +226,7 @@ def register_not_synced(ledger: DataFrame, name: str = "pending_sync") -> None:
 
 def sync_plan(ledger: DataFrame, inv_tables: DataFrame) -> DataFrame:
     """Statement text for each approved change that is not synced: `change_id, statement`."""
-    kinds = _as_assets(inv_tables, "table_type").dropDuplicates(ASSET)
+    kinds = _as_assets(inv_tables, "table_type").groupBy(*ASSET).agg(F.min("table_type").alias("table_type"))
     rows = not_synced(ledger).drop("asset_type").join(kinds, ASSET, "left")
     kind = F.upper(asset_kind(F.col("table_type")))
     new_text = F.when(F.col("suggestion_type") == DELETE, "").otherwise(F.coalesce("suggestion", F.lit("")))

@@ -403,7 +403,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     catalog, schema, asset = asset_names(conv)
     return table(spark, sf_dir, "conversations").select(
-        (conv * 100000 + turn).alias("request_id"),
+        (conv * 2147483648 + turn).alias("request_id"),
         catalog.alias("catalog"),
         schema.alias("schema"),
         asset.alias("asset"),

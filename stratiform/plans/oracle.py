@@ -301,7 +301,7 @@ DECIDED = f"""{LEDGER}, decided AS (
     CASE WHEN status = 'pending' THEN 'first look' ELSE 'second look' END AS reviewer_comments
   FROM (SELECT *, CAST(string_split(change_id, '_')[-1] AS BIGINT) AS n FROM ledger))"""
 PREPARED = f"""requests AS (
-  SELECT conv_id * 100000 + turn AS request_id, {catalog_of('conv_id')} AS catalog, {schema_of('conv_id')} AS schema,
+  SELECT conv_id * 2147483648 + turn AS request_id, {catalog_of('conv_id')} AS catalog, {schema_of('conv_id')} AS schema,
     {name_of('conv_id')} AS asset, CASE WHEN turn > 0 THEN 'col_' || (turn % 3 + 1) END AS column_name, turn,
     CASE turn % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'Old text' END AS old_value,
     CASE WHEN turn % 5 = 4 THEN ' ' || chr(10) ELSE text END AS new_value, role || '_' || (conv_id % 7) AS suggestor_id,

@@ -39,8 +39,8 @@ def rejected_values(spark: SparkSession, spec: TableSpec, path: str) -> DataFram
     return text.agg(*counts).select(F.inline(lines))
 
 
-def sampled_schema(spark: SparkSession, kind: str, path: str, ratio: float = 0.1) -> T.StructType:
-    """Schema for a stream, inferred once by a batch read of a share of the rows."""
+def sampled_schema(spark: SparkSession, kind: str, path: str, ratio: float = 1.0) -> T.StructType:
+    """Schema for a stream, inferred once by a batch read, of all rows unless a share is asked for."""
     options = {"samplingRatio": str(ratio)}
     if kind == "csv":
         options |= {"header": "true", "inferSchema": "true"}
