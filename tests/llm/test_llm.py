@@ -199,6 +199,17 @@ def test_attention_gradients():
         assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=0.01, abs=1e-5)
 
 
+def test_attention_scores_agree_with_layer():
+    """Scoring by tables and buffers gives what the layer gives, for full and short batches and large weights."""
+    rng = np.random.default_rng(1)
+    for size, scale in ((attention_lm.BATCH, 1), (3, 1), (5, 8)):
+        m = {k: w * np.float32(scale) for k, w in attention_lm.draw().items()}
+        x, y = rng.integers(0, attention_lm.CLASSES, (2, size, attention_lm.SPAN))
+        scorer = attention_lm.Scorer(m, np.arange(attention_lm.CLASSES), np.ones(attention_lm.CLASSES))
+        want = np.take_along_axis(attention_lm.forward(m, x)[0], y[..., None], 2)[..., 0]
+        assert np.allclose(scorer.targets(x, y, scorer.buffers()), want, atol=1e-4)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.NET/en/x?y=1"), (2, "http://net/q"), (3, None), (4, "nothing"), (5, "https://x.example.com/de/1#a"), (6, "http://fr.org/fr/"), (7, "http://fr.org"), (8, "http://internet/x"), (8, "http://internet/x")]
     got = by_id(url_gbt.judge(spark.createDataFrame(rows, "page_id bigint, url string")), "page_id")
