@@ -55,6 +55,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[bytes, bytes] = {}
+        self.known: dict[int, bytes] = {}  # by the word's 64-bit hash, as runs tell words apart by it too
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
@@ -81,16 +82,22 @@ class WordTokenizer:
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a run, and the number of ids of each row."""
-        _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        distinct = [words.text(i) for i in first.tolist()]
+        distinct, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > CACHE:
+            self.known = {}
         if len(self.parts) > CACHE:
             self.parts = {}
-        split = []
-        for word in distinct:
+        keys = distinct.tolist()
+        new = np.array([key not in self.known for key in keys], bool)
+        at, raw, split = first[new], words.data.tobytes(), []
+        for start, end in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True):
+            word = raw[start:end]
             core = word.rstrip(CLOSING)
             split.append((core.lower(), word[len(core) :]) if core and core.decode().isalpha() else (word, b""))
         self.learn({x for pair in split for x in pair if x})
-        flat, own = spread([self.parts[core] + self.parts[marks] if marks else self.parts[core] for core, marks in split], place)
+        for key, (core, marks) in zip(distinct[new].tolist(), split, strict=True):
+            self.known[key] = self.parts[core] + self.parts[marks] if marks else self.parts[core]
+        flat, own = spread([self.known[key] for key in keys], place)
         return flat, words.per_row(own)
 
 
