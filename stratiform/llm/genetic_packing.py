@@ -38,7 +38,7 @@ END = 1
 SHARD = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
 CACHE = 300_000
-RUN = 1 << 21
+RUN = 1 << 20
 GROUP = 400
 WORD_END, CLOSING = "</w>", b".,;:!?"
 INSIDE = word_bytes("space")

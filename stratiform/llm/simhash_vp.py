@@ -41,6 +41,7 @@ RADIUS = 4
 BLOCKS = 3
 SHARD = 2048
 LEAF = 64
+RUN = 1 << 19
 INSIDE = word_bytes("space")
 
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in runs(batch.column(1)):
+            for low, high, data, offsets in runs(batch.column(1), RUN):
                 words = Words(LOWER[data], offsets, INSIDE)
                 fp = as_long(majority(*shingle_hashes(words, shingle), high - low))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(fp)], names=[key, "fp"])

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 21
+BLOCK = 1 << 17
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -45,7 +46,7 @@ class Poly:
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, PIECE + 1)
+            size = max(n, 2 * BLOCK)
             ones = np.ones(size, np.uint64)
             ones[1:] = self.base
             self.up = np.multiply.accumulate(ones)
@@ -54,10 +55,22 @@ class Poly:
         return self.up, self.down
 
     def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = self.powers(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start])
+        """Hashes of spans whose starts and ends rise; bytes stand for their random values. Worked on in blocks of values."""
+        out = np.empty(len(start), np.uint64)
+        low = 0
+        while low < len(start):
+            first = int(start[low])
+            high = int(np.searchsorted(start, first + BLOCK))
+            own = values[first : int(end[high - 1])]
+            if own.dtype == np.uint8:
+                own = self.bytes[own]
+            up, down = self.powers(len(own) + 1)
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * up[: len(own)], out=sums[1:])
+            at = start[low:high] - first
+            out[low:high] = mix((sums[end[low:high] - first] - sums[at]) * down[at])
+            low = high
+        return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,7 +101,7 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), self.n)
 
     def hashes(self, poly: Poly = POLY) -> np.ndarray:
-        return poly.spans(poly.bytes[self.data], self.start, self.end)
+        return poly.spans(self.data, self.start, self.end)
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
