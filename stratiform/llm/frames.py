@@ -11,9 +11,14 @@ from pyspark.sql import types as T
 from stratiform.session import work_folder
 
 
+#: Python workers live longer than a task: large arrays and Arrow batches go back to the system at once.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "33554432", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Python workers on this host find the package even if they start in another folder."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for variable, value in ({"PYTHONPATH": str(Path(__file__).resolve().parents[2])} | MEMORY).items():
+        spark.sparkContext.environment.setdefault(variable, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
