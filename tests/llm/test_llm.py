@@ -210,6 +210,65 @@ def test_attention_scores_agree_with_layer():
         assert np.allclose(scorer.targets(x, y, scorer.buffers()), want, atol=1e-4)
 
 
+def test_attention_tells_subwords_apart(spark):
+    """Each word says which comes next, among words that are all equally frequent: 0.62 of the unigrams' figure, 0.75 for classes by hash."""
+    words = [f"{a}{b}" for a in ("alpha", "bravo", "delta", "gamma", "kilo", "lima", "oscar", "papa", "romeo", "tango") for b in range(10, 26)]
+    after = np.random.default_rng(6).permutation(len(words))
+    rows = []
+    for i in range(400):
+        at, text = i % len(words), []
+        for _ in range(120):
+            text.append(words[at])
+            at = after[at]
+        rows.append((i, " ".join(text)))
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = attention_lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), F.col("doc_id") % 4 != 0, vocabulary)
+    score, base = found.filter("doc_id % 4 = 0").agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > 0.7 * base
+
+
+def test_every_training_window_moves_the_weights(spark):
+    """An id of one training document alone has moved, wherever the document's text falls; so has one far into a long text."""
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = [(i, prose(i, 200)) for i in range(400)] + [(400, prose(400, 20_000) + " zebra xylophone " + prose(401, 50))]
+    docs = spark.createDataFrame(rows, "id bigint, text string").withColumn("train", F.lit(True))
+    subwords = attention_lm.Subwords(*vocabulary)
+    counts = np.zeros(subwords.size)
+    for r in attention_lm.corpus(docs, vocabulary).filter("kind = 1").collect():
+        counts[r.k] = r.v
+    groups, start = attention_lm.Groups(counts), attention_lm.draw(subwords.size)
+    learned = attention_lm.learned(docs, start, groups, vocabulary)
+    moved = (learned["emb"] != start["emb"]).any(1)
+    seen = groups.place[np.flatnonzero(counts[:-1])]  # nothing follows the end
+    assert moved[seen].all() and moved[-1] and moved.sum() == len(seen) + 1
+    assert [np.bincount(groups.classes)[c] for c in range(attention_lm.COMMON)] == [1] * attention_lm.COMMON
+    assert np.bincount(groups.classes).sum() == subwords.size
+
+
+def test_output_vectors_learn_by_their_gradient():
+    """A step goes down the whole loss: class and subword among its class."""
+    rng = np.random.default_rng(7)
+    groups = attention_lm.Groups(rng.integers(0, 50, 3_000).astype(float))
+    x, y = rng.integers(0, 3_000, (2, 4, attention_lm.SPAN))
+    scored = np.ones(x.shape, bool)
+    training = attention_lm.Training(attention_lm.draw(3_000), groups, 0.003, 64)
+    n = np.full(4, attention_lm.SPAN)
+
+    def loss():
+        scorer = attention_lm.Scorer(training.m, groups.classes, groups.counts)
+        return -scorer.score(y.ravel(), n).sum()
+
+    x, y = attention_lm.windows(y.ravel(), n)[:2]
+    before = loss()
+    m, share = training.m, attention_lm.Members(groups.classes, groups.counts)
+    z, *_, h = attention_lm.forward(m, x)
+    want = np.take_along_axis(z, groups.classes[y][..., None], 2)[..., 0] + share.logs[y]  # output vectors are still 0
+    assert before == pytest.approx(-want.sum() / np.log(10), rel=1e-4)
+    for _ in range(60):
+        training.learn(x, y, scored)
+    assert loss() < 0.6 * before
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.NET/en/x?y=1"), (2, "http://net/q"), (3, None), (4, "nothing"), (5, "https://x.example.com/de/1#a"), (6, "http://fr.org/fr/"), (7, "http://fr.org"), (8, "http://internet/x"), (8, "http://internet/x")]
     got = by_id(url_gbt.judge(spark.createDataFrame(rows, "page_id bigint, url string")), "page_id")
