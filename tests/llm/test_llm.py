@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratiform.llm import attention_lm, debruijn, decontaminate, genetic_packing, license_ac, line_rules, quality_fm, queries, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import attention_lm, debruijn, decontaminate, genetic_packing, license_ac, line_rules, near_jaccard, quality_fm, queries, simhash_vp, url_gbt, warc_bundles
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, spans int, hits int, fp int, row string"
@@ -150,6 +150,27 @@ def test_vantage_points_lose_no_link(depth):
     assert np.array_equal(label, want)
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """One to four words changed in documents of 100: links against brute force over all pairs."""
+    rng, rows = np.random.default_rng(12), []
+    for i in range(150):
+        words = rng.integers(0, 5_000, 100).astype(str)
+        for changed in range(4):
+            copy = words.copy()
+            copy[rng.choice(100, changed, replace=False)] = [f"new{i}x{changed}x{j}" for j in range(changed)]
+            rows.append((4 * i + changed, " ".join(copy)))
+    sets = {i: {tuple(t.split()[s : s + 5]) for s in range(96)} for i, t in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and a // 4 == b // 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = sum(found[a] == found[b] for a, b in similar)
+    assert len(similar) > 200 and linked >= 0.99 * len(similar)
+    # nothing is linked that no chain of similar pairs links
+    label = np.arange(len(rows))
+    pairs = np.array(sorted(similar))
+    simhash_vp.join_labels(label, pairs[:, 0], pairs[:, 1])
+    assert all(label[i] == label[c] for i, c in found.items())
+
+
 def test_licenses(spark, docs):
     rows = [(1, "MIT License mit license; GNU General Public License"), (2, "cc"), (3, "by the"), (4, "// SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0\nx"), (5, "SPDX-License-Identifier: MIT OR"), (6, None)]
     got = {r.doc_id: r for r in license_ac.licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
