@@ -6,7 +6,7 @@ derive the same inputs.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +14,11 @@ from pyspark.sql import types as T
 
 from stratiform.functions.measures import date_key
 from stratiform.functions.text import COLUMN_FORMAT, TABLE_FORMAT, asset_kind
-from stratiform.operators.calendar import date_dimension, days_between
+from stratiform.operators.calendar import date_dimension, days_of
 from stratiform.operators.quality import quality_flag
 
 AUDIT_TS = datetime(2025, 1, 1, tzinfo=timezone.utc)
 SUBMITTED_AT = datetime(2024, 6, 1, tzinfo=timezone.utc)
-FIRST_DAY, LAST_DAY = date(1990, 1, 1), date(2030, 12, 31)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +96,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calendar(spark: SparkSession) -> DataFrame:
-    return date_dimension(days_between(spark, FIRST_DAY, LAST_DAY))
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days the sales lines span."""
+    return date_dimension(days_of(table(spark, sf_dir, "lineitem"), F.col("l_shipdate")))
 
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,7 +279,7 @@ def date_dimension_(spark, sf_dir):
 @query
 def sales_by_department_season(spark, sf_dir):
     facts = src.transactions(spark, sf_dir, with_order=False, with_store=False)
-    return gold.sales_by_season(facts, src.articles(spark, sf_dir), src.calendar(spark))
+    return gold.sales_by_season(facts, src.articles(spark, sf_dir), src.calendar(spark, sf_dir))
 
 
 @query
@@ -287,7 +287,7 @@ def retail_performance(spark, sf_dir):
     return gold.retail_performance(
         src.transactions(spark, sf_dir),
         src.articles(spark, sf_dir),
-        src.calendar(spark),
+        src.calendar(spark, sf_dir),
         src.AUDIT_TS,
         approximate=False,
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stratiform.functions.measures import cast_failed, exact_sum, is_true, recent, share_pct, tried
 from stratiform.operators import gold
 from stratiform.operators.calendar import date_dimension, days_between
+from stratiform.plans.queries import QUERIES
 
 TX = (
     "transaction_id string, article_id string, transaction_date date, date_key bigint, quantity bigint, "
@@ -151,3 +152,16 @@ def test_flags_and_casts(spark):
     df = spark.createDataFrame([("1",), ("x",), (None,)], "v string")
     out = df.select(tried("v", "int"), cast_failed("v", "int").alias("bad"), is_true(F.col("v") == "1").alias("one"))
     assert [tuple(r) for r in out.collect()] == [(1, False, True), (None, True, False), (None, False, False)]
+
+
+def test_reports_keep_sales_of_any_day(spark, sf_dir, tmp_path):
+    """Sales lines of 1989 and 2031 are in both reports."""
+    for name in ("orders", "part", "supplier", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    odd = F.when(F.col("l_orderkey") % 3 == 0, F.lit("1989-05-06")).when(F.col("l_orderkey") % 3 == 1, F.lit("2031-07-08"))
+    kind = lines.schema["l_shipdate"].dataType
+    lines.withColumn("l_shipdate", F.coalesce(odd.cast(kind), "l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    units, n = lines.agg(F.sum(F.col("l_quantity").cast("bigint")), F.count("*")).first()
+    assert QUERIES["retail_performance"](spark, str(tmp_path)).agg(F.sum("total_units_sold")).first()[0] == units
+    assert QUERIES["sales_by_department_season"](spark, str(tmp_path)).agg(F.sum("transaction_count")).first()[0] == n
