@@ -15,6 +15,11 @@ TABLES = (
 ).split()
 
 
+def rows(df) -> list[tuple]:
+    """All rows as a sorted list of tuples."""
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
     for name in TABLES:

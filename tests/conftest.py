@@ -37,8 +37,3 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def audit_ts():
     return datetime(2025, 1, 1, tzinfo=timezone.utc)
-
-
-def rows(df):
-    """All rows as a sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

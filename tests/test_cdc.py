@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

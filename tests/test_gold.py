@@ -1,6 +1,6 @@
 from datetime import date, datetime
 
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from stratiform.functions.measures import cast_failed, exact_sum, is_true, recent, share_pct, tried

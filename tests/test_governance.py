@@ -1,7 +1,7 @@
 from datetime import datetime, timezone
 
 import pytest
-from conftest import rows
+from compare import rows
 from test_ledger import change, ledger
 
 from stratiform.operators import conformance as C

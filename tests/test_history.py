@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from compare import rows
 
 from stratiform.operators.history import scd1, scd2
 
