@@ -7,10 +7,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from stratiform.session import build_session  # noqa: E402
-
-SF_DIR = "/root/testdata/sf0.001"
+from compare import SF_DIR  # noqa: E402
 
+from stratiform.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():

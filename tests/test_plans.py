@@ -5,7 +5,7 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import SF_DIR
+from compare import SF_DIR
 
 import __spark_entry__ as register
 from stratiform.operators.quality import Rule, apply_rules
