@@ -81,4 +81,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op2_substrings": OP2, "op8_line_rules": OP8, "op3_warc": OP3, "op10_decontaminate": OP10}
+LETTERS = [f"l{i}.x" for i in range(5)]
+OP12 = f"""
+WITH lab AS (SELECT doc_id, bool_or(quality = 1) AS g, bool_or(toxic = 1) AS x FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents),
+f AS (SELECT part, coalesce(g, false) AS g, coalesce(x, false) AS x,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN lab USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE g) AS good, count(*) FILTER (WHERE x) AS toxic FROM f GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT {' || '.join(LETTERS)} AS o FROM l l0, l l1, l l2, l l3, l l4 WHERE len(list_distinct([{', '.join(LETTERS)}])) = 5),
+s AS (SELECT o, s, substr(o, s, 1) AS x, substr(o, 1, s - 1) AS before FROM (SELECT o, unnest(range(1, 6)) AS s FROM o)),
+r AS (SELECT part, o, s, x, n, good, toxic, failed = x AS only_x, contains(failed, x) AS fails, translate(failed, before, '') = failed AS here FROM c, s),
+e AS (SELECT part, o, s, x, sum(CASE WHEN here AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN here AND fails THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN NOT here AND fails THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN only_x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN here AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN here AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, o AS filter_order, s::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM e
+"""
+
+ORACLE = {"op2_substrings": OP2, "op8_line_rules": OP8, "op3_warc": OP3, "op10_decontaminate": OP10, "op12_filter_audit": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import attention_lm, debruijn, decontaminate, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import attention_lm, debruijn, decontaminate, filter_lattice, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -65,6 +65,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
@@ -76,4 +80,5 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op12_filter_audit": op12_filter_audit,
 }
