@@ -103,4 +103,17 @@ SELECT part, o AS filter_order, s::INT AS step, kept, removed, redundant, unique
   (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM e
 """
 
-ORACLE = {"op2_substrings": OP2, "op8_line_rules": OP8, "op3_warc": OP3, "op10_decontaminate": OP10, "op12_filter_audit": OP12}
+OP13 = """
+WITH known AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM known a JOIN known b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, b AS positive_id, r::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3
+"""
+
+ORACLE = {"op2_substrings": OP2, "op8_line_rules": OP8, "op3_warc": OP3, "op10_decontaminate": OP10, "op12_filter_audit": OP12, "op13_hard_negatives": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import attention_lm, debruijn, decontaminate, filter_lattice, genetic_packing, license_ac, line_rules, quality_fm, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import attention_lm, debruijn, decontaminate, filter_lattice, genetic_packing, license_ac, line_rules, quality_fm, segment_negatives, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -69,6 +69,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return segment_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
@@ -81,4 +87,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
