@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import attention_lm, debruijn, decontaminate, filter_lattice, genetic_packing, license_ac, line_rules, quality_fm, segment_negatives, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm import attention_lm, debruijn, decontaminate, filter_lattice, genetic_packing, license_ac, line_rules, quality_fm, secret_cnn, segment_negatives, simhash_vp, url_gbt, warc_bundles
 from stratiform.llm.frames import held_out, table
 
 
@@ -65,6 +65,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_cnn.findings(docs, secret_cnn.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_model")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_lattice.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_line_rules": op8_line_rules,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_secrets": op11_secrets,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
