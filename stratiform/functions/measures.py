@@ -37,10 +37,9 @@ def rounded_ratio(numerator: Column, denominator: Column, factor: float | None =
     return F.round(ratio(numerator, denominator, factor), 2)
 
 
-def rate_pct(condition: Column) -> Column:
-    """Percentage of the rows of a group that meet a condition."""
-    hits = F.count_if(condition).cast("double") * F.lit(100.0)
-    return F.round(hits / F.count(F.lit(1)).cast("double"), 2)
+def count_pct(hits: Column, rows: Column) -> Column:
+    """Counted hits as a percentage of counted rows."""
+    return F.round(hits.cast("double") * F.lit(100.0) / rows.cast("double"), 2)
 
 
 def share_pct(part: Column, total: Column) -> Column:

@@ -14,17 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.functions.measures import (
+    count_pct,
     exact_sum,
     health_band,
     json_minutes,
     money,
     performance_band,
-    rate_pct,
     recent,
     rounded_ratio,
 )
 from stratiform.operators.bronze import GOLD_SOURCE, with_audit
-from stratiform.operators.quality import clean_rate_pct
+from stratiform.operators.quality import CLEAN
 
 
 def distinct(column: str, approximate: bool, error: float = 0.05) -> Column:
@@ -45,39 +45,96 @@ def daily_summary(
     rates: Mapping[str, Column] | None = None,
     flag: str | None = "data_quality_flag",
     approximate: bool = True,
-    with_entities: bool = True,
     watermark: str | None = None,
 ) -> DataFrame:
     """Volumes, revenue, ratios and percentages by day and dimensions.
 
-    `with_entities=False` leaves out the three columns that need distinct entities. On a stream a
-    `watermark` such as "2 days" closes a day once it has passed, which drops its state and allows
-    append mode; `day` must then be a timestamp.
+    On a stream a `watermark` such as "2 days" closes a day once it has passed, which drops its state and
+    allows append mode; `day` must then be a timestamp. A stream takes the sketch form, or keeps
+    `daily_parts`, whose fold has exact distinct entities.
     """
-    total = exact_sum(F.col(amount))
-    rows = F.count(F.lit(1))
-    entities = distinct(entity, approximate)
-    columns = [entities.alias(f"unique_{noun}s")] if with_entities else []
-    columns += [rows.alias(f"{noun}_count"), F.count_if(active).alias(f"active_{noun}_count")]
+    counted = {"quantity": quantity, "rates": rates, "flag": flag, "watermark": watermark}
+    if approximate:
+        sketch = distinct(entity, True).alias("_entities")
+        totals = _daily_sums(df, day, dimensions, [], amount, active, [sketch], **counted)
+    else:
+        totals = _parts_sum(daily_parts(df, day, dimensions, entity, amount, active, **counted), dimensions, entity)
+    return _daily_measures(totals, dimensions, noun, audit_ts)
+
+
+def daily_parts(
+    df: DataFrame,
+    day: Column,
+    dimensions: Sequence[str],
+    entity: str,
+    amount: str,
+    active: Column,
+    quantity: str | None = None,
+    rates: Mapping[str, Column] | None = None,
+    flag: str | None = "data_quality_flag",
+    watermark: str | None = None,
+) -> DataFrame:
+    """Counts and sums by day, dimensions and entity: a summary in parts that add up, also on a stream."""
+    return _daily_sums(df, day, dimensions, [entity], amount, active, [], quantity, rates, flag, watermark)
+
+
+def daily_fold(
+    parts: DataFrame, dimensions: Sequence[str], entity: str, noun: str, audit_ts: datetime
+) -> DataFrame:
+    """The summary of `daily_parts`; an entity has one part a group, so distinct entities are a count."""
+    return _daily_measures(_parts_sum(parts, dimensions, entity), dimensions, noun, audit_ts)
+
+
+def _daily_sums(
+    df: DataFrame,
+    day: Column,
+    dimensions: Sequence[str],
+    by: Sequence[str],
+    amount: str,
+    active: Column,
+    more: Sequence[Column],
+    quantity: str | None,
+    rates: Mapping[str, Column] | None,
+    flag: str | None,
+    watermark: str | None,
+) -> DataFrame:
+    columns = [*more, F.count(F.lit(1)).alias("_rows"), F.count_if(active).alias("_active")]
     if quantity:
-        columns.append(F.sum(quantity).alias("total_quantity"))
-    columns += [money(total).alias("total_amount"), rounded_ratio(total, F.count(amount)).alias("avg_amount")]
-    if with_entities:
-        columns += [
-            rounded_ratio(total, entities).alias(f"amount_per_{noun}"),
-            rounded_ratio(rows, entities).alias(f"records_per_{noun}"),
-        ]
-    for name, condition in (rates or {}).items():
-        columns.append(rate_pct(condition).alias(f"{name}_rate_pct"))
+        columns.append(F.sum(quantity).alias("_quantity"))
+    columns += [exact_sum(F.col(amount)).alias("_total"), F.count(amount).alias("_amounts")]
+    columns += [F.count_if(condition).alias(f"_hits_{name}") for name, condition in (rates or {}).items()]
     if flag:
-        columns.append(clean_rate_pct(flag).alias("clean_data_rate_pct"))
+        columns.append(F.count_if(F.col(flag) == CLEAN).alias("_clean"))
     if watermark is None:
-        out = df.groupBy(day.cast("date").alias("date"), *dimensions).agg(*columns)
-    else:
-        timed = df.withColumn("_time", day).withWatermark("_time", watermark)
-        grouped = timed.groupBy(F.window("_time", "1 day"), *dimensions).agg(*columns)
-        out = grouped.select(F.col("window.start").cast("date").alias("date"), *grouped.columns[1:])
-    return with_audit(out, audit_ts, GOLD_SOURCE)
+        return df.groupBy(day.cast("date").alias("date"), *dimensions, *by).agg(*columns)
+    timed = df.withColumn("_time", day).withWatermark("_time", watermark)
+    grouped = timed.groupBy(F.window("_time", "1 day"), *dimensions, *by).agg(*columns)
+    return grouped.select(F.col("window.start").cast("date").alias("date"), *grouped.columns[1:])
+
+
+def _parts_sum(parts: DataFrame, dimensions: Sequence[str], entity: str) -> DataFrame:
+    added = [F.sum(c).alias(c) for c in parts.columns if c.startswith("_")]
+    return parts.groupBy("date", *dimensions).agg(F.count(entity).alias("_entities"), *added)
+
+
+def _daily_measures(totals: DataFrame, dimensions: Sequence[str], noun: str, audit_ts: datetime) -> DataFrame:
+    rows, entities, total = F.col("_rows"), F.col("_entities"), F.col("_total")
+    columns = [
+        entities.alias(f"unique_{noun}s"),
+        rows.alias(f"{noun}_count"),
+        F.col("_active").alias(f"active_{noun}_count"),
+        *([F.col("_quantity").alias("total_quantity")] if "_quantity" in totals.columns else []),
+        money(total).alias("total_amount"),
+        rounded_ratio(total, F.col("_amounts")).alias("avg_amount"),
+        rounded_ratio(total, entities).alias(f"amount_per_{noun}"),
+        rounded_ratio(rows, entities).alias(f"records_per_{noun}"),
+    ]
+    for name in totals.columns:
+        if name.startswith("_hits_"):
+            columns.append(count_pct(F.col(name), rows).alias(f"{name.removeprefix('_hits_')}_rate_pct"))
+    if "_clean" in totals.columns:
+        columns.append(count_pct(F.col("_clean"), rows).alias("clean_data_rate_pct"))
+    return with_audit(totals.select("date", *dimensions, *columns), audit_ts, GOLD_SOURCE)
 
 
 def star_join(

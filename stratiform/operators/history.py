@@ -26,6 +26,13 @@ START, END = "__START_AT", "__END_AT"
 CONTROL_COLUMNS = ("cdc_operation", "cdc_timestamp", "cdc_timestamp_ms")
 
 
+def latest_rows(changes: DataFrame, keys: Sequence[str], sequence: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Latest row per key, deletes included; on a stream this is one row of state a key."""
+    rest = F.struct(*[c for c in changes.columns if c not in keys])
+    last = F.max_by(rest, F.struct(sequence, *tie)).alias("_last")
+    return changes.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*changes.columns)
+
+
 def scd1(
     changes: DataFrame,
     keys: Sequence[str],
@@ -36,17 +43,7 @@ def scd1(
     keep_tombstones: bool = False,
 ) -> DataFrame:
     """Latest row per key. A key whose latest row is a delete is absent, or kept as a tombstone."""
-    latest = (
-        changes.groupBy(*keys)
-        .agg(
-            F.max_by(
-                F.struct(*[c for c in changes.columns if c not in keys]),
-                F.struct(sequence, *tie),
-            ).alias("_last")
-        )
-        .select(*keys, "_last.*")
-        .select(*changes.columns)
-    )
+    latest = latest_rows(changes, keys, sequence, tie)
     if keep_tombstones:
         return latest
     if operation:
@@ -73,7 +70,7 @@ def scd2(
     cuts = slices(changes.schema[sequence].dataType, F.col(sequence))
     levels = [f"_slice_{i}" for i in range(len(cuts))]
     log = changes.withColumns(dict(zip(levels, cuts)))
-    versions = _one_per_sequence(log, keys, sequence, tie, levels)
+    versions = one_per_sequence(log, keys, sequence, tie, levels)
     edges = log
     if collapse_unchanged:
         skipped = {*keys, sequence, *tie, *exclude, *untracked}
@@ -131,7 +128,7 @@ def _tie_columns(df: DataFrame, keys: Sequence[str], sequence: str, tie: Sequenc
     return list(tie) or sorted(c for c in df.columns if c not in {*keys, sequence})
 
 
-def _one_per_sequence(
+def one_per_sequence(
     df: DataFrame, keys: Sequence[str], sequence: str, tie: Sequence[str], levels: Sequence[str] = ()
 ) -> DataFrame:
     """One row per (key, sequence); copies are merged before the shuffle. `levels` follow from the sequence."""

@@ -118,11 +118,6 @@ def quality_flag(cases: Sequence[tuple[str, Column]]) -> Column:
     return F.coalesce(first_match(cases), F.lit(CLEAN)).alias("data_quality_flag")
 
 
-def clean_rate_pct(flag: str = "data_quality_flag") -> Column:
-    clean = F.count_if(F.col(flag) == CLEAN).cast("double") * F.lit(100.0)
-    return F.round(clean / F.count(F.lit(1)).cast("double"), 2)
-
-
 def split_rows(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows and rejected rows by a reason column; together they are exactly the input."""
     column = F.col(reason)

@@ -129,16 +129,12 @@ MEASURED = """measured AS (
     CASE WHEN value < 5.0 THEN 'LOW_VALUE' ELSE 'CLEAN' END AS data_quality_flag FROM events)"""
 
 
-def daily(with_entities: bool) -> str:
+def daily() -> str:
     users = "COUNT(DISTINCT user_id)"
     amount = total("value")
-    entity = (
-        f"""{users} AS unique_users, {r2(ratio(amount, users))} AS amount_per_user,
-    {r2(ratio('COUNT(*)', users))} AS records_per_user,"""
-        if with_entities
-        else ""
-    )
-    return f"""WITH {MEASURED} SELECT date, channel, tier, {entity} COUNT(*) AS user_count,
+    return f"""WITH {MEASURED} SELECT date, channel, tier, {users} AS unique_users,
+    {r2(ratio(amount, users))} AS amount_per_user, {r2(ratio('COUNT(*)', users))} AS records_per_user,
+    COUNT(*) AS user_count,
     {rows_where("event_type <> 'error'")} AS active_user_count, CAST(SUM(quantity) AS BIGINT) AS total_quantity,
     {money(amount)} AS total_amount, {r2(ratio(amount, 'COUNT(value)'))} AS avg_amount,
     {rate("event_type = 'purchase'")} AS purchase_rate_pct, {rate("data_quality_flag = 'CLEAN'")} AS clean_data_rate_pct,
@@ -461,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "scd1_stream": SCD1,
         "scd2_history": SCD2,
         "scd2_stream": SCD2,
+        "scd2_hot_key": SCD2.replace("SELECT user_id, event_id, event_type AS kind", "SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_id, event_type AS kind"),
         "scd2_collapsed": _collapsed(),
         "change_feed": """WITH new AS (
             SELECT * REPLACE (CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1.0::DOUBLE ELSE c_acctbal END AS c_acctbal)
@@ -510,8 +507,8 @@ def oracle_sql() -> dict[str, str]:
             FROM transactions JOIN articles USING (article_id) GROUP BY 1, 2""",
         "retail_performance": _retail(),
         "category_performance": _category(),
-        "daily_summary": daily(True),
-        "daily_summary_stream": daily(False),
+        "daily_summary": daily(),
+        "daily_summary_stream": daily(),
         "flow_health": f"""WITH log AS (
             SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase')
               THEN CAST(regexp_extract(props, '"k": *([0-9]+)', 1) || '000' AS DOUBLE) / 60000.0::DOUBLE END AS minutes

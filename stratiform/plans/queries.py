@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.functions.measures import exact_sum
 from stratiform.operators import cdc, conformance, gold, governance, history, ledger, quality, silver
@@ -156,46 +157,50 @@ def scd2_collapsed(spark, sf_dir):
     return history.scd2(changes, ["user_id"], "cdc_timestamp", ["event_id"], collapse_unchanged=True)
 
 
-def _buckets(spark: SparkSession) -> int:
-    """Key buckets for a result made in one run; a table that lives on must keep its number."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+@query
+def scd2_hot_key(spark, sf_dir):
+    """History where one key holds a third of the log."""
+    rows = src.change_rows(spark, sf_dir)
+    rows = rows.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    return history.scd2(rows, ["user_id"], "cdc_timestamp", ["event_id"])
+
 
+def _in_pieces(rows: DataFrame, path: str, number: str, start: Callable[[], StreamingQuery], pieces: int = 3) -> None:
+    """Let rows arrive in pieces by a number, a start of the stream after each, all on one checkpoint.
 
-def _change_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    src.change_rows(spark, sf_dir).write.parquet(f"{folder}/in")
-    return read_stream(spark, "parquet", src.CHANGE_ROW, f"{folder}/in")
+    The pieces hold rows of all times, so each but the first is late in part.
+    """
+    for piece in range(pieces):
+        rows.filter(F.col(number) % pieces == piece).write.mode("append").parquet(path)
+        start().awaitTermination()
 
 
 @query
 def scd1_stream(spark, sf_dir):
+    """Current state kept over three starts of a stream, with late rows and rows before their delete."""
     folder = work_folder(spark, "scd1")
-    changes = _change_stream(spark, sf_dir, folder)
-    state.scd1_stream(
-        changes,
-        f"{folder}/out",
-        f"{folder}/checkpoint",
-        ["user_id"],
-        "cdc_timestamp",
-        ["event_id"],
-        _buckets(spark),
-    ).awaitTermination()
-    return state.scd1_state(spark, f"{folder}/out", src.CHANGE_ROW)
+    by = (["user_id"], "cdc_timestamp", ["event_id"])
+
+    def start() -> StreamingQuery:
+        changes = read_stream(spark, "parquet", src.CHANGE_ROW, f"{folder}/in")
+        return state.scd1_stream(changes, f"{folder}/out", f"{folder}/checkpoint", *by)
+
+    _in_pieces(src.change_rows(spark, sf_dir), f"{folder}/in", "event_id", start)
+    return state.scd1_state(spark, f"{folder}/out", src.CHANGE_ROW, *by)
 
 
 @query
 def scd2_stream(spark, sf_dir):
+    """History kept over three starts of a stream, with late rows and rows before their delete."""
     folder = work_folder(spark, "scd2")
-    changes = _change_stream(spark, sf_dir, folder)
-    state.scd2_stream(
-        changes,
-        f"{folder}/out",
-        f"{folder}/checkpoint",
-        ["user_id"],
-        "cdc_timestamp",
-        ["event_id"],
-        _buckets(spark),
-    ).awaitTermination()
-    return state.scd2_state(spark, f"{folder}/out", src.CHANGE_ROW, "cdc_timestamp")
+    by = (["user_id"], "cdc_timestamp", ["event_id"])
+
+    def start() -> StreamingQuery:
+        changes = read_stream(spark, "parquet", src.CHANGE_ROW, f"{folder}/in")
+        return state.scd2_stream(changes, f"{folder}/out", f"{folder}/checkpoint", *by)
+
+    _in_pieces(src.change_rows(spark, sf_dir), f"{folder}/in", "event_id", start)
+    return state.scd2_state(spark, f"{folder}/out", src.CHANGE_ROW, *by)
 
 
 @query
@@ -305,45 +310,43 @@ def category_performance_approx(spark, sf_dir):
     return gold.category_performance(src.transactions(spark, sf_dir), src.articles(spark, sf_dir), src.AUDIT_TS)
 
 
-def _daily(rows: DataFrame, **options) -> DataFrame:
-    return gold.daily_summary(
-        rows,
-        F.col("ts"),
-        ["channel", "tier"],
-        entity="user_id",
-        noun="user",
-        amount="value",
-        quantity="quantity",
-        active=F.col("event_type") != "error",
-        rates={"purchase": F.col("event_type") == "purchase"},
-        audit_ts=src.AUDIT_TS,
-        **options,
-    )
+DAILY = {
+    "day": F.col("ts"),
+    "dimensions": ["channel", "tier"],
+    "entity": "user_id",
+    "amount": "value",
+    "quantity": "quantity",
+    "active": F.col("event_type") != "error",
+    "rates": {"purchase": F.col("event_type") == "purchase"},
+}
 
 
 @query
 def daily_summary(spark, sf_dir):
-    return _daily(src.measured_events(src.table(spark, sf_dir, "events")), approximate=False)
+    rows = src.measured_events(src.table(spark, sf_dir, "events"))
+    return gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS, approximate=False)
 
 
 @query
 def daily_summary_approx(spark, sf_dir):
-    return _daily(src.measured_events(src.table(spark, sf_dir, "events")))
+    rows = src.measured_events(src.table(spark, sf_dir, "events"))
+    return gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS)
 
 
 @query
 def daily_summary_stream(spark, sf_dir):
-    """The summary kept by a stream over the event files; distinct users are left to the sketch form."""
+    """The summary kept over three starts of a stream: parts by user in Spark's state, folded when read."""
     folder = work_folder(spark, "daily")
     events = src.table(spark, sf_dir, "events")
-    # a pattern, since a stream source takes folders and patterns but no single file
-    stream = read_stream(spark, "parquet", events.schema, f"{sf_dir}/events.parque[t]")
-    summary = _daily(src.measured_events(stream), with_entities=False)
-    keys = ["date", "channel", "tier"]
-    state.aggregate_stream(
-        summary, f"{folder}/out", f"{folder}/checkpoint", keys, _buckets(spark)
-    ).awaitTermination()
-    return state.aggregate_state(spark, f"{folder}/out", summary.schema)
+
+    def start() -> StreamingQuery:
+        rows = src.measured_events(read_stream(spark, "parquet", events.schema, f"{folder}/in"))
+        return state.aggregate_stream(gold.daily_parts(rows, **DAILY), f"{folder}/out", f"{folder}/checkpoint")
+
+    _in_pieces(events, f"{folder}/in", "event_id", start)
+    schema = gold.daily_parts(src.measured_events(events), **DAILY).schema
+    parts = state.aggregate_state(spark, f"{folder}/out", schema, ["date", "channel", "tier", "user_id"])
+    return gold.daily_fold(parts, ["channel", "tier"], "user_id", "user", src.AUDIT_TS)
 
 
 @query

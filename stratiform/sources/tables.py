@@ -118,6 +118,32 @@ def update_by_key(
     )
 
 
+def update_partitions(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    partition_by: Sequence[str],
+    updates: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    where: Column | None = None,
+) -> None:
+    """Keyed update of a partitioned Parquet folder: partitions that hold no updated key are left alone.
+
+    A pass over key and partition columns finds the touched partitions; their rows alone are read in full
+    and written again by dynamic overwrite, which publishes at the end of the job, so a repeat of a broken
+    run starts from the old rows. `updates` is as in `update_by_key` and is meant to be the small side;
+    partition columns can't change.
+    """
+    if set(columns) & set(partition_by):
+        raise ValueError("an update can't move a row to another partition")
+    table = spark.read.schema(schema).parquet(path)
+    touched = table.join(updates.select(key), key, "left_semi").select(*partition_by).distinct()
+    same = [table[c].eqNullSafe(touched[c]) for c in partition_by]
+    rows = update_by_key(table.join(touched, same, "left_semi"), updates, key, columns, where)
+    write_files(rows, path, partition_by, only_given_partitions=True)
+
+
 def delete_where(table: DataFrame, predicate: Column) -> DataFrame:
     """Rows for which the predicate is not TRUE; an unknown result keeps the row."""
     return table.filter(~F.coalesce(predicate, F.lit(False)))

@@ -1,34 +1,53 @@
 """Keyed results kept up to date by a stream: current state, history, aggregates.
 
-A batch may run again after a failure, so every body writes a version numbered by the batch and reads
-only versions before it. A result folder belongs to one checkpoint.
+Every batch writes what it changed into a folder of its own, `batch=N`; a batch that runs again after a
+failure writes the same folder anew, so nothing counts twice. Bytes written follow the batch, not the
+table. Readers fold the folders: the latest row a key, or the history of the whole log, by the same
+operators as in batch. Late rows need no care, since the folds go by the business sequence. What is
+kept between batches is Spark's own state (one row a key) or nothing. A result folder belongs to one
+checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stratiform.operators.history import CONTROL_COLUMNS, END, START, scd1, scd2
+from stratiform.operators.history import CONTROL_COLUMNS, latest_rows, one_per_sequence, scd1, scd2
 from stratiform.session import setting
-from stratiform.sources.versions import read_current, touched_buckets, with_bucket, write_version
 
-BUCKETS = 64
+BATCH = "batch"
 
 
-def _run(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None], mode: str) -> StreamingQuery:
-    def adaptive(batch: DataFrame, batch_id: int) -> None:
-        # Spark turns AQE off for streams with state; the writes of a batch are batch jobs and need it
-        # to split big buckets. The stream's own plan is fixed by the time the batch arrives.
-        with setting(batch.sparkSession, "spark.sql.adaptive.enabled", "true"):
-            body(batch, batch_id)
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Write a batch to its folder, over an earlier run of the same batch.
 
+    Spark turns AQE off for streams with state; the write is a job of its own, in which the rebalance
+    hint gives few files of even size.
+    """
+    with setting(batch.sparkSession, "spark.sql.adaptive.enabled", "true"):
+        batch.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all batches with their batch number; none before the first batch."""
+    stored = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(stored).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stored)
+
+
+def _run(rows: DataFrame, path: str, checkpoint: str, mode: str) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(adaptive)
+        rows.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, path))
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -36,132 +55,66 @@ def _run(stream: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], No
     )
 
 
-def merge_latest(
-    batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS
-) -> None:
-    """Keep the latest row per key by `order`; only the buckets of the batch are rewritten.
-
-    Deleted keys stay as tombstones, so a late older row cannot bring a key back.
-    """
-    spark = batch.sparkSession
-    latest = with_bucket(scd1(batch, keys, order[0], order[1:], keep_tombstones=True), keys, buckets).persist()
-    try:
-        touched = touched_buckets(latest)
-        if not touched:
-            return
-        prior = read_current(spark, path, batch.schema, batch_id, touched)
-        merged = scd1(
-            prior.unionByName(latest.drop("bucket")), keys, order[0], order[1:], keep_tombstones=True
-        )
-        write_version(with_bucket(merged, keys, buckets), path, batch_id, touched)
-    finally:
-        latest.unpersist()
-
-
 def scd1_stream(
-    changes: DataFrame,
-    path: str,
-    checkpoint: str,
-    keys: Sequence[str],
-    sequence: str,
-    tie: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    changes: DataFrame, path: str, checkpoint: str, keys: Sequence[str], sequence: str, tie: Sequence[str] = ()
 ) -> StreamingQuery:
-    def body(batch: DataFrame, batch_id: int) -> None:
-        merge_latest(batch, batch_id, path, keys, [sequence, *tie], buckets)
+    """Keep the latest row per key in Spark's state; a batch writes the rows of the keys it meets.
 
-    return _run(changes, checkpoint, body, "append")
+    Deleted keys stay as tombstones, so a late older row cannot bring a key back.
+    """
+    return _run(latest_rows(changes, keys, sequence, tie), path, checkpoint, "update")
 
 
 def scd1_state(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    operation: str | None = "cdc_operation",
-    exclude: Sequence[str] = CONTROL_COLUMNS,
-) -> DataFrame:
-    """Current rows of an `scd1_stream`, deleted keys left out."""
-    rows = read_current(spark, path, schema)
-    if operation:
-        rows = rows.filter(~F.col(operation).eqNullSafe("d"))
-    return rows.drop(*exclude)
-
-
-def extend_history(
-    batch: DataFrame,
-    batch_id: int,
-    path: str,
     keys: Sequence[str],
     sequence: str,
     tie: Sequence[str] = (),
-    buckets: int = BUCKETS,
-    **options,
-) -> None:
-    """Add a batch to the change log and rebuild the history of the buckets it touches.
-
-    A late row changes the end of an older version, so whole keys are rebuilt from the log and the
-    history is never patched.
-    """
-    spark = batch.sparkSession
-    bucketed = with_bucket(batch, keys, buckets)
-    log = f"{path}/log"
-    rows = bucketed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
-    rows.parquet(f"{log}/version={batch_id}")
-    schema = T.StructType(
-        [*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())]
-    )
-    stored = spark.read.schema(schema).parquet(log)
-    touched = touched_buckets(stored.filter(F.col("version") == batch_id))
-    if not touched:
-        return
-    changes = stored.filter((F.col("version") <= batch_id) & F.col("bucket").isin(*touched))
-    history = scd2(changes.select(*batch.columns), keys, sequence, tie, **options)
-    write_version(with_bucket(history, keys, buckets), f"{path}/history", batch_id, touched)
+    operation: str | None = "cdc_operation",
+    exclude: Sequence[str] = CONTROL_COLUMNS,
+) -> DataFrame:
+    """Current rows of an `scd1_stream` over changes of `schema`, deleted keys left out."""
+    rows = read_batches(spark, path, schema).drop(BATCH)
+    return scd1(rows, keys, sequence, tie, operation=operation, exclude=exclude)
 
 
 def scd2_stream(
-    changes: DataFrame,
-    path: str,
-    checkpoint: str,
-    keys: Sequence[str],
-    sequence: str,
-    tie: Sequence[str] = (),
-    buckets: int = BUCKETS,
-    **options,
+    changes: DataFrame, path: str, checkpoint: str, keys: Sequence[str], sequence: str, tie: Sequence[str] = ()
 ) -> StreamingQuery:
+    """Keep the change log, copies within a batch merged. A late row moves the end of an older version,
+    so the history is read from the log and never patched."""
+
     def body(batch: DataFrame, batch_id: int) -> None:
-        extend_history(batch, batch_id, path, keys, sequence, tie, buckets, **options)
+        write_batch(one_per_sequence(batch, keys, sequence, tie), batch_id, path)
 
-    return _run(changes, checkpoint, body, "append")
+    return (
+        changes.writeStream.foreachBatch(body)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def scd2_state(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
+    keys: Sequence[str],
     sequence: str,
-    exclude: Sequence[str] = CONTROL_COLUMNS,
+    tie: Sequence[str] = (),
+    **options,
 ) -> DataFrame:
-    """History kept by an `scd2_stream` over changes of `schema`."""
-    fields = [f for f in schema.fields if f.name not in exclude]
-    kind = schema[sequence].dataType
-    full = T.StructType([*fields, T.StructField(START, kind), T.StructField(END, kind)])
-    return read_current(spark, f"{path}/history", full)
-
+    """History of an `scd2_stream` over changes of `schema`; options as of `scd2`."""
+    return scd2(read_batches(spark, path, schema).drop(BATCH), keys, sequence, tie, **options)
 
-def aggregate_stream(
-    aggregate: DataFrame, path: str, checkpoint: str, keys: Sequence[str], buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Keep a streaming aggregate: each batch brings the changed groups in full and replaces them."""
-
-    def body(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
-        merge_latest(numbered, batch_id, path, keys, ["_batch"], buckets)
 
-    return _run(aggregate, checkpoint, body, "update")
+def aggregate_stream(aggregate: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a streaming aggregate: each batch writes the groups it changed, in full."""
+    return _run(aggregate, path, checkpoint, "update")
 
 
-def aggregate_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Current groups of an `aggregate_stream` of `schema`."""
-    stored = T.StructType([*schema.fields, T.StructField("_batch", T.LongType())])
-    return read_current(spark, path, stored).drop("_batch")
+def aggregate_state(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """Current groups of an `aggregate_stream` of `schema`: of each, what its latest batch wrote."""
+    return latest_rows(read_batches(spark, path, schema), keys, BATCH).select(*schema.names)

@@ -75,8 +75,8 @@ def test_first_submission_combines_before_the_shuffle(plans):
     assert "partial_max_by" in plans["scd1_current"]
 
 
-def test_history_without_hot_keys_has_plain_windows(plans):
-    """One shuffle merges copies of (key, sequence), one brings the versions of a key together."""
-    text = plans["scd2_history"]
-    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) == 2
-    assert "Join" not in text
+def test_history_is_one_plan_for_every_key(plans):
+    """Whole rows are shuffled twice: to merge copies of (key, sequence), and to their slices."""
+    assert plans["scd2_history"].count("Exchange hashpartitioning") == plans["scd2_hot_key"].count("Exchange hashpartitioning")
+    for name in ("scd2_history", "scd2_hot_key", "scd2_collapsed"):
+        assert "Join" not in plans[name] and "Broadcast" not in plans[name], name

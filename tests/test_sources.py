@@ -18,10 +18,10 @@ from stratiform.sources.tables import (
     rows_with_ids,
     typed_rows,
     update_by_key,
+    update_partitions,
     write_files,
     write_table,
 )
-from stratiform.sources.versions import read_current, rewrite_buckets, rewrite_current, with_bucket, write_version
 from stratiform.specs import ALL_SPECS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS, TRANSACTIONS_KEYED
 
 HEADER = ",".join(TRANSACTIONS.columns)
@@ -177,59 +177,30 @@ def test_sampled_schema(spark, tmp_path):
     assert sampled_schema(spark, "csv", str(tmp_path / "c"), 1.0)["id"].dataType == T.IntegerType()
 
 
-def test_versions(spark):
-    path = work_folder(spark, "versions")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
-    assert read_current(spark, path, schema).count() == 0
-    first = with_bucket(spark.createDataFrame([(i, "a") for i in range(20)], schema), ["id"], 4)
-    write_version(first, path, 0, [0, 1, 2, 3])
-    second = first.filter("bucket = 1").withColumn("v", F.lit("b"))
-    write_version(second, path, 1, [1, 2])
-    now = {r.id: r.v for r in read_current(spark, path, schema).collect()}
-    before = {r.id: r.bucket for r in first.collect()}
-    assert now == {i: "b" if b == 1 else "a" for i, b in before.items() if b != 2}
-    assert read_current(spark, path, schema, before=1).count() == 20
-    assert read_current(spark, path, schema, buckets=[1]).count() == sum(b == 1 for b in before.values())
-    rewrite_current(spark, path, schema, path + "-copy", ["id"], 4)
-    assert {r.id: r.v for r in read_current(spark, path + "-copy", schema).collect()} == now
-
-
-def test_keyed_ledger_rewrites(spark):
-    path = work_folder(spark, "ledger")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
-
-    def rewrite(version, touched, change):
-        rewrite_buckets(spark, path, schema, ["id"], 8, version, touched, change)
-
-    new = spark.createDataFrame([(i, "a") for i in range(10)], schema)
-    rewrite(0, new, lambda old: old.unionByName(new))
-    updates = spark.createDataFrame([(3, "b")], schema)
+def test_keyed_update_writes_touched_partitions_only(spark):
+    path = work_folder(spark, "update")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("day", T.DateType())])
+    data = [(i, "a", date(2025, 1, 1 + i % 4) if i % 5 else None) for i in range(40)]
+    write_files(spark.createDataFrame(data, schema), path, ["day"])
+
+    def files():
+        table = spark.read.schema(schema).parquet(path)
+        return {(r.day, r.f) for r in table.select("day", F.input_file_name().alias("f")).distinct().collect()}
+
+    before = files()
+    updates = spark.createDataFrame([(5, "b"), (3, "b"), (7, None), (99, "b")], "id long, v string")
     for _ in range(2):
-        rewrite(1, updates, lambda old: update_by_key(old, updates, "id", ["v"]))
-    gone = F.col("v") == "b"
-    assert rows(read_current(spark, path, schema).filter(gone)) == [(3, "b")]
-    rewrite(2, read_current(spark, path, schema).filter(gone), lambda old: delete_where(old, gone))
-    rewrite(3, new.limit(0), lambda old: old)
-    assert rows(read_current(spark, path, schema)) == sorted([(i, "a") for i in range(10) if i != 3], key=repr)
-
-
-def test_unpublished_version_is_invisible(spark):
-    path = work_folder(spark, "versions")
-    schema = T.StructType([T.StructField("id", T.LongType())])
-    one = with_bucket(spark.range(5), ["id"], 2)
-    write_version(one, path, 0, [0, 1])
-    one.withColumn("id", F.col("id") + 100).write.partitionBy("bucket").parquet(f"{path}/rows/version=1")
-    assert sorted(r.id for r in read_current(spark, path, schema).collect()) == [0, 1, 2, 3, 4]
-
-
-def test_versions_read_only_live_folders(spark):
-    path = work_folder(spark, "versions")
-    schema = T.StructType([T.StructField("id", T.LongType())])
-    one = with_bucket(spark.range(50), ["id"], 2)
-    write_version(one, path, 0, [0, 1])
-    write_version(one, path, 1, [0, 1])
-    files = read_current(spark, path, schema).select(F.input_file_name()).distinct().collect()
-    assert files and all("version=1/" in r[0] for r in files)
+        update_partitions(spark, path, schema, ["day"], updates, "id", ["v"])
+    new = {5: "b", 3: "b", 7: None}
+    want = sorted([(i, new.get(i, v), d) for i, v, d in data], key=repr)
+    assert rows(spark.read.schema(schema).parquet(path)) == want
+    kept = {date(2025, 1, 1), date(2025, 1, 2), date(2025, 1, 3)}
+    assert {f for f in before if f[0] in kept} <= files()
+    assert not {f for f in before if f[0] not in kept} & files()
+    update_partitions(spark, path, schema, ["day"], updates.withColumn("v", F.lit("c")), "id", ["v"], where=F.col("v").isNull())
+    assert rows(spark.read.schema(schema).parquet(path).filter("v = 'c'").select("id")) == [(7,)]
+    with pytest.raises(ValueError, match="partition"):
+        update_partitions(spark, path, schema, ["day"], updates, "id", ["day"])
 
 
 def test_catalog_inventory(spark, database):

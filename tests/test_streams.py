@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.operators.cdc import parse_changes
-from stratiform.operators.gold import daily_summary
+from stratiform.operators.gold import daily_fold, daily_parts, daily_summary
 from stratiform.operators.history import scd1, scd2
 from stratiform.operators.silver import silver_transactions
 from stratiform.session import work_folder
@@ -95,62 +95,67 @@ def test_quarantine_can_run_twice(spark, audit_ts):
     assert rows(rejected) == [("INVALID_CDC_OPERATION",), ("NULL_PRIMARY_KEY",)]
 
 
+BY = (KEYS, "seq", ["n"])
+
+
+def feed(spark, kind, pieces, path, checkpoint, files):
+    """Each piece arrives as a file and the stream starts anew on its checkpoint; returns the batches that ran."""
+    ran = 0
+    for piece in pieces:
+        changes(spark, piece).coalesce(1).write.mode("append").parquet(files)
+        stream = read_stream(spark, "parquet", changes(spark, []).schema, files, maxFilesPerTrigger="1")
+        query = (state.scd1_stream if kind == "scd1" else state.scd2_stream)(stream, path, checkpoint, *BY)
+        query.awaitTermination()
+        ran += sum(p.numInputRows > 0 for p in query.recentProgress)
+    return ran
+
+
 @pytest.mark.parametrize("seed", [5, 6])
-def test_current_state_equals_batch(spark, seed):
+@pytest.mark.parametrize("kind", ["scd1", "scd2"])
+def test_kept_results_equal_batch(spark, kind, seed):
+    folder = work_folder(spark, kind)
     pieces, events = batches(seed)
-    path = work_folder(spark, "scd1")
-    for number, piece in enumerate(pieces):
-        for _ in range(2 if number == 1 else 1):
-            state.merge_latest(changes(spark, piece), number, path, KEYS, ["seq", "n"], buckets=4)
-    have = state.scd1_state(spark, path, changes(spark, events).schema, exclude=CONTROL)
-    assert rows(have) == rows(scd1(changes(spark, events), KEYS, "seq", ["n"], exclude=CONTROL))
+    out, schema = f"{folder}/out", changes(spark, []).schema
+    assert feed(spark, kind, pieces, out, f"{folder}/checkpoint", f"{folder}/in") == len(pieces)
+    read, fold = (state.scd1_state, scd1) if kind == "scd1" else (state.scd2_state, scd2)
+    want = rows(fold(changes(spark, events), *BY, exclude=CONTROL))
+    assert rows(read(spark, out, schema, *BY, exclude=CONTROL)) == want
+    # a batch that runs again writes its own folder, whatever a first run left there
+    again = state.read_batches(spark, out, schema).filter("batch = 1").drop("batch").collect()
+    state.write_batch(spark.createDataFrame(again[:3], schema), 1, out)
+    state.write_batch(spark.createDataFrame(again, schema), 1, out)
+    assert rows(read(spark, out, schema, *BY, exclude=CONTROL)) == want
+
+
+@pytest.mark.parametrize("kind", ["scd1", "scd2"])
+def test_a_batch_writes_what_it_brings(spark, kind):
+    """The third batch brings two rows to a table of 50 keys and writes two rows."""
+    folder = work_folder(spark, kind)
+    first = [(i, "a", "c", 1, i) for i in range(50)]
+    pieces = [first, [(1, "b", "u", 5, 100)], [(2, "late", "u", 0, 101), (3, "b", "d", 9, 102)]]
+    feed(spark, kind, pieces, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/in")
+    written = state.read_batches(spark, f"{folder}/out", changes(spark, []).schema)
+    assert rows(written.groupBy("batch").count().select("count")) == [(1,), (2,), (50,)]
 
 
 def test_late_row_does_not_revive_a_key(spark):
-    path = work_folder(spark, "scd1")
-    state.merge_latest(changes(spark, [(1, "a", "d", 9, 1)]), 0, path, KEYS, ["seq", "n"], buckets=4)
-    state.merge_latest(changes(spark, [(1, "late", "u", 5, 2)]), 1, path, KEYS, ["seq", "n"], buckets=4)
-    assert state.scd1_state(spark, path, changes(spark, []).schema).count() == 0
-
-
-@pytest.mark.parametrize("hot_rows", [20, 1_000_000])
-def test_history_equals_batch(spark, hot_rows):
-    pieces, events = batches(7)
-    path = work_folder(spark, "scd2")
-    options = {"exclude": CONTROL, "hot_rows": hot_rows}
-    for number, piece in enumerate(pieces):
-        for _ in range(2 if number == 1 else 1):
-            state.extend_history(changes(spark, piece), number, path, KEYS, "seq", ["n"], buckets=4, **options)
-    have = state.scd2_state(spark, path, changes(spark, events).schema, "seq", exclude=CONTROL)
-    assert rows(have) == rows(scd2(changes(spark, events), KEYS, "seq", ["n"], exclude=CONTROL))
+    folder = work_folder(spark, "scd1")
+    pieces = [[(1, "a", "d", 9, 1)], [(1, "late", "u", 5, 2)]]
+    feed(spark, "scd1", pieces, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/in")
+    assert state.scd1_state(spark, f"{folder}/out", changes(spark, []).schema, *BY).count() == 0
 
 
 def test_overruled_version_disappears(spark):
-    """A later tie-break turns the only version of a key into a delete: its bucket ends up empty."""
-    path = work_folder(spark, "scd2")
-    state.extend_history(changes(spark, [(1, "a", "c", 1, 1)]), 0, path, KEYS, "seq", ["n"], 4, exclude=CONTROL)
-    state.extend_history(changes(spark, [(1, "a", "d", 1, 2)]), 1, path, KEYS, "seq", ["n"], 4, exclude=CONTROL)
-    assert state.scd2_state(spark, path, changes(spark, []).schema, "seq", exclude=CONTROL).count() == 0
+    """A later tie-break turns the only version of a key into a delete."""
+    folder = work_folder(spark, "scd2")
+    pieces = [[(1, "a", "c", 1, 1)], [(1, "a", "d", 1, 2)]]
+    feed(spark, "scd2", pieces, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/in")
+    assert state.scd2_state(spark, f"{folder}/out", changes(spark, []).schema, *BY, exclude=CONTROL).count() == 0
 
 
-def test_streams_end_to_end_in_several_batches(spark):
-    folder = work_folder(spark, "streams")
-    pieces, events = batches(8)
+def test_nothing_is_kept_before_the_first_batch(spark):
     schema = changes(spark, []).schema
-    for piece in pieces:
-        changes(spark, piece).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    for kind in ("scd1", "scd2"):
-        stream = read_stream(spark, "parquet", schema, f"{folder}/in", maxFilesPerTrigger="1")
-        start = state.scd1_stream if kind == "scd1" else state.scd2_stream
-        options = {} if kind == "scd1" else {"exclude": CONTROL}
-        query = start(stream, f"{folder}/{kind}", f"{folder}/cp-{kind}", KEYS, "seq", ["n"], 4, **options)
-        query.awaitTermination()
-        assert len(query.recentProgress) >= len(pieces)
-    log = changes(spark, events)
-    current = state.scd1_state(spark, f"{folder}/scd1", schema, exclude=CONTROL)
-    assert rows(current) == rows(scd1(log, KEYS, "seq", ["n"], exclude=CONTROL))
-    history = state.scd2_state(spark, f"{folder}/scd2", schema, "seq", exclude=CONTROL)
-    assert rows(history) == rows(scd2(log, KEYS, "seq", ["n"], exclude=CONTROL))
+    assert state.scd1_state(spark, work_folder(spark, "none"), schema, *BY).count() == 0
 
 
 MEASURES = "ts timestamp, dim string, who int, amount double, data_quality_flag string"
@@ -179,15 +184,18 @@ def measures(spark):
     return folder, parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def test_streaming_aggregate_equals_batch(spark, measures, audit_ts):
+def test_kept_parts_fold_to_the_summary(spark, measures, audit_ts):
     folder, whole = measures
-    stream = read_stream(spark, "parquet", whole.schema, f"{folder}/in", maxFilesPerTrigger="1")
-    aggregate = summary(stream, audit_ts)
-    query = state.aggregate_stream(aggregate, f"{folder}/out", f"{folder}/checkpoint", ["date", "dim"], 4)
-    query.awaitTermination()
-    have = state.aggregate_state(spark, f"{folder}/out", aggregate.schema)
-    assert have.columns == summary(whole, audit_ts).columns
-    assert rows(have) == rows(summary(whole, audit_ts))
+    by = (F.col("ts"), ["dim"], "who", "amount", F.col("amount") > 0)
+    for _ in range(2):
+        stream = read_stream(spark, "parquet", whole.schema, f"{folder}/in", maxFilesPerTrigger="1")
+        parts = daily_parts(stream, *by)
+        state.aggregate_stream(parts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    kept = state.aggregate_state(spark, f"{folder}/out", parts.schema, ["date", "dim", "who"])
+    have = daily_fold(kept, ["dim"], "who", "user", audit_ts)
+    want = summary(whole, audit_ts, approximate=False)
+    assert have.columns == want.columns and rows(have) == rows(want)
+    assert "unique_users" in have.columns
 
 
 def test_watermark_allows_append(spark, measures, audit_ts):
