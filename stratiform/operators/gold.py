@@ -23,13 +23,28 @@ from stratiform.functions.measures import (
     recent,
     rounded_ratio,
 )
+from stratiform.functions.sketches import estimate, merged, sketch
 from stratiform.operators.bronze import GOLD_SOURCE, with_audit
 from stratiform.operators.quality import CLEAN
 
 
-def distinct(column: str, approximate: bool, error: float = 0.05) -> Column:
-    """Distinct count, exact or by sketch; the sketch is one small fixed-size state per group."""
-    return F.approx_count_distinct(column, error) if approximate else F.count_distinct(column)
+def distinct(column: str, approximate: bool) -> Column:
+    """Distinct count, exact or by sketch; the sketch is one small state of bounded size per group."""
+    return estimate(sketch(column)) if approximate else F.count_distinct(column)
+
+
+def entity_sketches(df: DataFrame, day: Column, dimensions: Sequence[str], entity: str) -> DataFrame:
+    """Sketches of the distinct entities by day and dimensions, to be kept."""
+    return df.groupBy(day.cast("date").alias("date"), *dimensions).agg(
+        F.count(F.lit(1)).alias("record_count"), sketch(entity).alias("entity_sketch")
+    )
+
+
+def rolled_up(sketches: DataFrame, by: Sequence[str | Column], noun: str) -> DataFrame:
+    """Records and estimated distinct entities at a coarser grain, from kept sketches alone."""
+    return sketches.groupBy(*by).agg(
+        F.sum("record_count").alias("record_count"), estimate(merged("entity_sketch")).alias(f"unique_{noun}s")
+    )
 
 
 def daily_summary(

@@ -129,11 +129,13 @@ MEASURED = """measured AS (
     CASE WHEN value < 5.0 THEN 'LOW_VALUE' ELSE 'CLEAN' END AS data_quality_flag FROM events)"""
 
 
-def daily() -> str:
+def daily(checked: bool = False) -> str:
+    """`checked`: in place of the distinct count and its ratios, that the estimate is close."""
     users = "COUNT(DISTINCT user_id)"
     amount = total("value")
-    return f"""WITH {MEASURED} SELECT date, channel, tier, {users} AS unique_users,
-    {r2(ratio(amount, users))} AS amount_per_user, {r2(ratio('COUNT(*)', users))} AS records_per_user,
+    entity = f"""{users} AS unique_users, {r2(ratio(amount, users))} AS amount_per_user,
+    {r2(ratio('COUNT(*)', users))} AS records_per_user"""
+    return f"""WITH {MEASURED} SELECT date, channel, tier, {"TRUE AS unique_users_close" if checked else entity},
     COUNT(*) AS user_count,
     {rows_where("event_type <> 'error'")} AS active_user_count, CAST(SUM(quantity) AS BIGINT) AS total_quantity,
     {money(amount)} AS total_amount, {r2(ratio(amount, 'COUNT(value)'))} AS avg_amount,
@@ -157,17 +159,17 @@ def _retail() -> str:
     GROUP BY transaction_date, 2, 3, department, category, region"""
 
 
-def _category() -> str:
+def _category(checked: bool = False) -> str:
     gross, net, cost = total("total_amount"), total("net_amount"), total("quantity * base_cost")
     sales, people = "COUNT(DISTINCT transaction_id)", "COUNT(DISTINCT customer_id)"
     profit = f"({net} - {cost})"
     return f"""WITH {STAR} SELECT transaction_date AS sale_date, department, category, subcategory, region,
     sales_channel, {sales} AS transaction_count, CAST(SUM(quantity) AS BIGINT) AS total_units_sold,
-    {people} AS unique_customers, {money(gross)} AS gross_revenue, {money(net)} AS net_revenue,
+    {"TRUE AS unique_customers_close" if checked else f"{people} AS unique_customers"}, {money(gross)} AS gross_revenue, {money(net)} AS net_revenue,
     {r2(ratio(gross, 'COUNT(*)'))} AS avg_transaction_value, {money(profit)} AS gross_profit,
     {r2(ratio(profit, net, '100.0::DOUBLE'))} AS profit_margin_pct,
     {r2(ratio('SUM(quantity)', sales))} AS units_per_transaction,
-    {r2(ratio(net, people))} AS revenue_per_customer, {audited('gold_aggregation')}
+    {"" if checked else f"{r2(ratio(net, people))} AS revenue_per_customer,"} {audited('gold_aggregation')}
     FROM transactions JOIN articles USING (article_id)
     GROUP BY transaction_date, department, category, subcategory, region, sales_channel"""
 
@@ -507,6 +509,18 @@ def oracle_sql() -> dict[str, str]:
             FROM transactions JOIN articles USING (article_id) GROUP BY 1, 2""",
         "retail_performance": _retail(),
         "category_performance": _category(),
+        "category_performance_approx": _category(checked=True),
+        "daily_summary_approx": daily(checked=True),
+        "users_rolled_up": f"""WITH {MEASURED} SELECT CAST(date_trunc('week', date) AS DATE) AS week, channel,
+            COUNT(*) AS record_count, TRUE AS unique_users_close FROM measured GROUP BY 1, 2""",
+        "new_files_stream": f"""SELECT *, event_id % 2 + 1 AS start FROM ({BRONZE_EVENTS})""",
+        "late_rows_stream": """SELECT CAST(ts AS DATE) AS date, COUNT(*) AS row_count FROM events
+            WHERE NOT (event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-11 00:00:00')
+            GROUP BY 1 HAVING CAST(ts AS DATE) + INTERVAL 3 DAY <= (SELECT MAX(ts) FROM events)""",
+        "keyed_update": """SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+              CASE WHEN hit THEN o_totalprice + 1.0::DOUBLE ELSE o_totalprice END AS o_totalprice)
+            FROM (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month,
+              o_orderkey % 97 = 0 AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00' AS hit FROM orders)""",
         "daily_summary": daily(),
         "daily_summary_stream": daily(),
         "flow_health": f"""WITH log AS (

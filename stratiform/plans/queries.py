@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.functions.measures import exact_sum
+from stratiform.functions.sketches import is_close
 from stratiform.operators import cdc, conformance, gold, governance, history, ledger, quality, silver
 from stratiform.operators.bronze import bronze
 from stratiform.operators.calendar import date_dimension, days_of
@@ -18,7 +19,7 @@ from stratiform.plans import inputs as src
 from stratiform.session import configure, work_folder
 from stratiform.sources.files import read_stream
 from stratiform.sources.inventory import is_user_schema
-from stratiform.sources.tables import typed_rows, write_files
+from stratiform.sources.tables import typed_rows, update_partitions, write_files
 from stratiform.specs import TRANSACTIONS, TRANSACTIONS_KEYED
 from stratiform.streaming import ingest, state
 
@@ -95,6 +96,50 @@ def parquet_stream_bronze(spark, sf_dir):
     return _stream_bronze(spark, sf_dir, "parquet")
 
 
+def _in_pieces(rows: DataFrame, path: str, number: str, start: Callable[[], StreamingQuery], pieces: int = 3) -> None:
+    """Let rows arrive in pieces by a number, a start of the stream after each, all on one checkpoint.
+
+    The pieces hold rows of all times, so each but the first is late in part.
+    """
+    for piece in range(pieces):
+        rows.filter(F.col(number) % pieces == piece).write.mode("append").parquet(path)
+        start().awaitTermination()
+
+
+@query
+def new_files_stream(spark, sf_dir):
+    """Two starts of a stream on one checkpoint, a file a batch: each reads only what came since the one before."""
+    folder = work_folder(spark, "new-files")
+    events = src.keyed_events(spark, sf_dir)
+    starts = iter((1, 2))
+
+    def start() -> StreamingQuery:
+        stream = read_stream(spark, "parquet", events.schema, f"{folder}/in", maxFilesPerTrigger="1")
+        raw = ingest.bronze_stream(stream, ["user_id"], src.AUDIT_TS, "ecommerce").withColumn("start", F.lit(next(starts)))
+        return ingest.append(raw, f"{folder}/out", f"{folder}/checkpoint")
+
+    _in_pieces(events, f"{folder}/in", "event_id", start, pieces=2)
+    return spark.read.parquet(f"{folder}/out").drop("_source_file")
+
+
+@query
+def late_rows_stream(spark, sf_dir):
+    """Days closed by a watermark: rows that come after their day was closed are left out.
+
+    A first start brings all rows but some of the first ten days, a second start those.
+    """
+    folder = work_folder(spark, "late-rows")
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit("2024-01-11").cast("timestamp"))
+    events = src.keyed_events(spark, sf_dir).withColumn("late", late.cast("int"))
+
+    def start() -> StreamingQuery:
+        stream = read_stream(spark, "parquet", events.schema, f"{folder}/in")
+        return ingest.append(ingest.closed_days(stream, "ts", "2 days"), f"{folder}/out", f"{folder}/checkpoint")
+
+    _in_pieces(events, f"{folder}/in", "late", start, pieces=2)
+    return spark.read.parquet(f"{folder}/out")
+
+
 # Change events and history
 
 
@@ -165,16 +210,6 @@ def scd2_hot_key(spark, sf_dir):
     return history.scd2(rows, ["user_id"], "cdc_timestamp", ["event_id"])
 
 
-def _in_pieces(rows: DataFrame, path: str, number: str, start: Callable[[], StreamingQuery], pieces: int = 3) -> None:
-    """Let rows arrive in pieces by a number, a start of the stream after each, all on one checkpoint.
-
-    The pieces hold rows of all times, so each but the first is late in part.
-    """
-    for piece in range(pieces):
-        rows.filter(F.col(number) % pieces == piece).write.mode("append").parquet(path)
-        start().awaitTermination()
-
-
 @query
 def scd1_stream(spark, sf_dir):
     """Current state kept over three starts of a stream, with late rows and rows before their delete."""
@@ -213,6 +248,23 @@ def change_feed(spark, sf_dir):
     return cdc.change_feed(old, kept.unionByName(added), ["c_custkey"])
 
 
+@query
+def keyed_update(spark, sf_dir):
+    """Orders kept by month; a keyed update of some orders before 1996 rewrites their months alone."""
+    folder = work_folder(spark, "keyed-update")
+    orders = src.table(spark, sf_dir, "orders")
+    rows = orders.withColumn("order_month", F.date_trunc("MONTH", F.col("o_orderdate").cast("date")).cast("date"))
+    write_files(rows, folder, ["order_month"])
+    some = (F.col("o_orderkey") % 97 == 0) & (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    updates = orders.filter(some).select(
+        "o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1.0).alias("o_totalprice")
+    )
+    update_partitions(
+        spark, folder, rows.schema, ["order_month"], updates, "o_orderkey", ["o_orderstatus", "o_totalprice"]
+    )
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 # Validated layer and quality
 
 
@@ -305,9 +357,20 @@ def category_performance(spark, sf_dir):
     )
 
 
+def _checked(close: DataFrame, exact: DataFrame, keys: list[str], count: str, derived: list[str]) -> DataFrame:
+    """A summary by sketches whose estimate is replaced by whether it lies within three standard errors."""
+    true = exact.select(*keys, F.col(count).alias("_exact"))
+    near = F.coalesce(is_close(F.col(count), F.col("_exact")), F.lit(False))
+    return close.join(true, keys, "left").withColumn(f"{count}_close", near).drop(count, "_exact", *derived)
+
+
 @query
 def category_performance_approx(spark, sf_dir):
-    return gold.category_performance(src.transactions(spark, sf_dir), src.articles(spark, sf_dir), src.AUDIT_TS)
+    """The summary by sketches, each estimate checked against the exact count."""
+    inputs = (src.transactions(spark, sf_dir), src.articles(spark, sf_dir), src.AUDIT_TS)
+    keys = ["sale_date", "department", "category", "subcategory", "region", "sales_channel"]
+    exact = gold.category_performance(*inputs, approximate=False)
+    return _checked(gold.category_performance(*inputs), exact, keys, "unique_customers", ["revenue_per_customer"])
 
 
 DAILY = {
@@ -329,8 +392,25 @@ def daily_summary(spark, sf_dir):
 
 @query
 def daily_summary_approx(spark, sf_dir):
+    """The summary by sketches, each estimate checked against the exact count."""
+    rows = src.measured_events(src.table(spark, sf_dir, "events"))
+    close, exact = (gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS, approximate=a) for a in (True, False))
+    keys = ["date", "channel", "tier"]
+    return _checked(close, exact, keys, "unique_users", ["amount_per_user", "records_per_user"])
+
+
+@query
+def users_rolled_up(spark, sf_dir):
+    """Sketches kept by day, rolled up to weeks without the rows, and checked against the exact count."""
     rows = src.measured_events(src.table(spark, sf_dir, "events"))
-    return gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS)
+    folder = work_folder(spark, "sketches")
+    gold.entity_sketches(rows, F.col("ts"), ["channel", "tier"], "user_id").write.parquet(folder)
+    week = F.date_trunc("WEEK", "date").cast("date").alias("week")
+    close = gold.rolled_up(spark.read.parquet(folder), [week, "channel"], "user")
+    exact = rows.groupBy(F.date_trunc("WEEK", "ts").cast("date").alias("week"), "channel").agg(
+        F.count_distinct("user_id").alias("unique_users")
+    )
+    return _checked(close, exact, ["week", "channel"], "unique_users", [])
 
 
 @query

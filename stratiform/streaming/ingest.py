@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stratiform.operators.bronze import bronze
@@ -19,6 +20,12 @@ def bronze_stream(
     return bronze(stream, keys, audit_ts, source_system, source_file)
 
 
+def closed_days(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Rows by day, each day once it is over by `delay`; its state is dropped then, and rows after that are left out."""
+    counted = stream.withWatermark(time, delay).groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select(F.col("window.start").cast("date").alias("date"), "row_count")
+
+
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything that is new to a Parquet table, then stop. The checkpoint remembers what was read."""
     return (
