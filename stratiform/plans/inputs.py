@@ -136,6 +136,75 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Lines of CSV files, with values that the declared types refuse
+
+
+def _day_text(day: Column) -> Column:
+    return F.date_format(day, "dd-MM-yyyy")
+
+
+def transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales lines as text: some quantities are words, some dates have another form."""
+    rows = transactions(spark, sf_dir).drop("date_key", "net_amount")
+    order, part = F.col("basket_id").cast("bigint"), F.col("article_id").cast("bigint")
+    return rows.withColumns(
+        {
+            "quantity": F.when(order % 101 == 0, "many").otherwise(text(F.col("quantity"))),
+            "transaction_date": F.when(part % 103 == 0, text(F.col("transaction_date"))).otherwise(
+                _day_text(F.col("transaction_date"))
+            ),
+        }
+    )
+
+
+def article_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as text with all declared columns: some weights, days and lead times don't parse."""
+    number, size = F.col("p_partkey"), F.col("p_size")
+    first_day = F.date_add(F.lit("2020-01-01").cast("date"), size)
+    values = {
+        "article_id": text(number),
+        "status": F.when(size % 2 == 0, "ACTIVE").otherwise("BLOCKED"),
+        "valid_from": F.when(number % 61 == 0, "soon").otherwise(text(first_day)),
+        "valid_to": F.when(size % 3 == 0, text(F.date_add(first_day, 365))),
+        "lifecycle_group": F.when(size % 5 != 0, "core"),
+        "department": F.col("p_brand"),
+        "category": F.col("p_type"),
+        "subcategory": F.substring_index("p_name", " ", -1),
+        "brand": F.col("p_brand"),
+        "article_name": F.concat(F.col("p_name"), F.lit(', "'), text(size), F.lit('"')),
+        "short_description": F.lit(None).cast("string"),
+        "supplier_id": text(number % 100),
+        "supplier_name": F.concat(F.lit("Supplier "), text(number % 100)),
+        "country_of_origin": F.lit("GB"),
+        "base_uom": F.lit("EA"),
+        "net_content": F.concat(text(size), F.lit(" g")),
+        "net_weight_kg": F.when(number % 53 == 0, "heavy").otherwise(text(size / F.lit(8.0))),
+        "base_cost": text(F.col("p_retailprice") * F.lit(0.8)),
+        "list_price": text(F.col("p_retailprice")),
+        "tax_rate_pct": F.lit("20.0"),
+        "discountable": F.lit("Y"),
+        "in_stores": F.lit("Y"),
+        "in_ecommerce": F.when(size % 4 == 0, "Y").otherwise("N"),
+        "distribution_center_id": text(size % 6),
+        "distribution_center_name": F.concat(F.lit("DC "), text(size % 6)),
+        "replenishment_type": F.lit("daily"),
+        "lead_time_days": F.when(number % 59 == 0, "1.5").otherwise(text(size % 7)),
+    }
+    return table(spark, sf_dir, "part").select(*[v.alias(n) for n, v in values.items()])
+
+
+def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar of the sales lines as text; on each thirteenth the week is a word, on leap days the date has another form."""
+    days = date_dimension(days_of(table(spark, sf_dir, "lineitem"), F.col("l_shipdate")), iso_year_week=True)
+    leap = (F.col("month_number") == 2) & (F.col("day_of_month") == 29)
+    return days.withColumns(
+        {
+            "full_date": F.when(leap, text(F.col("full_date"))).otherwise(_day_text(F.col("full_date"))),
+            "week_of_year": F.when(F.col("day_of_month") == 13, "none").otherwise(text(F.col("week_of_year"))),
+        }
+    )
+
+
 # Change events
 
 

@@ -224,6 +224,65 @@ def _calendar() -> str:
     isoyear(d) || '-W' || {week} AS iso_year_week FROM days"""
 
 
+# CSV loads
+
+LINES = TRANSACTIONS.replace(
+    "r_name AS region,",
+    """r_name AS region, CAST(l_suppkey AS VARCHAR) AS store_id, s_name AS store_name,
+    CASE WHEN s_nationkey % 2 = 0 THEN 'superstore' ELSE 'local' END AS store_type,
+    CAST(l_orderkey AS VARCHAR) AS basket_id, l_orderkey % 101 = 0 AS bad_quantity, l_partkey % 103 = 0 AS bad_day,""",
+)
+
+
+def _load_transactions() -> str:
+    return f"""WITH {LINES} SELECT * EXCLUDE (bad_quantity, bad_day, net_amount) REPLACE (
+      CASE WHEN NOT bad_quantity THEN quantity END AS quantity, CASE WHEN NOT bad_day THEN date_key END AS date_key,
+      CASE WHEN NOT bad_day THEN transaction_date END AS transaction_date) FROM transactions"""
+
+
+def _load_articles() -> str:
+    key = "CAST(p_partkey AS VARCHAR)"
+    day = "DATE '2020-01-01' + p_size"
+    return f"""SELECT {key} AS article_id, CASE WHEN p_size % 2 = 0 THEN 'ACTIVE' ELSE 'BLOCKED' END AS status,
+    CASE WHEN p_partkey % 61 <> 0 THEN CAST({day} AS DATE) END AS valid_from,
+    CASE WHEN p_size % 3 = 0 THEN CAST({day} + 365 AS DATE) END AS valid_to,
+    CASE WHEN p_size % 5 <> 0 THEN 'core' END AS lifecycle_group, p_brand AS department, p_type AS category,
+    string_split(p_name, ' ')[-1] AS subcategory, p_brand AS brand, p_name || ', "' || p_size || '"' AS article_name,
+    CAST(NULL AS VARCHAR) AS short_description, CAST(p_partkey % 100 AS VARCHAR) AS supplier_id,
+    'Supplier ' || (p_partkey % 100) AS supplier_name, 'GB' AS country_of_origin, 'EA' AS base_uom,
+    p_size || ' g' AS net_content, CASE WHEN p_partkey % 53 <> 0 THEN p_size / 8.0::DOUBLE END AS net_weight_kg,
+    p_retailprice * 0.8::DOUBLE AS base_cost, p_retailprice AS list_price, 20.0::DOUBLE AS tax_rate_pct,
+    'Y' AS discountable, 'Y' AS in_stores, CASE WHEN p_size % 4 = 0 THEN 'Y' ELSE 'N' END AS in_ecommerce,
+    CAST(p_size % 6 AS VARCHAR) AS distribution_center_id, 'DC ' || (p_size % 6) AS distribution_center_name,
+    'daily' AS replenishment_type, CASE WHEN p_partkey % 59 <> 0 THEN CAST(p_size % 7 AS BIGINT) END AS lead_time_days
+    FROM part"""
+
+
+def _load_dates() -> str:
+    return f"""SELECT * EXCLUDE (iso_year_week) REPLACE (CASE WHEN day_of_month <> 13 THEN week_of_year END AS week_of_year,
+      CASE WHEN NOT (month_number = 2 AND day_of_month = 29) THEN full_date END AS full_date) FROM ({_calendar()})"""
+
+
+def _load_reports() -> str:
+    def report(source: str, table: str, refused: dict[str, str]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, COUNT(*) AS row_count, '{c}' AS column_name, {rows_where(w)} AS rejected_count FROM {source}"
+            for c, w in refused.items()
+        )
+
+    numbers = [c for c in ("calendar_year calendar_quarter month_number day_of_month day_of_week_number day_of_year fiscal_year "
+        "fiscal_quarter fiscal_month month_sort day_of_week_sort date_key _line").split()]
+    sales = {"transaction_date": "bad_day", "quantity": "bad_quantity"}
+    sales |= dict.fromkeys(["unit_price", "discount_pct", "total_amount", "_line"], "FALSE")
+    goods = {"valid_from": "p_partkey % 61 = 0", "net_weight_kg": "p_partkey % 53 = 0", "lead_time_days": "p_partkey % 59 = 0"}
+    goods |= dict.fromkeys(["valid_to", "base_cost", "list_price", "tax_rate_pct", "_line"], "FALSE")
+    days = {"full_date": "month_number = 2 AND day_of_month = 29", "week_of_year": "day_of_month = 13"}
+    days |= dict.fromkeys(numbers, "FALSE")
+    return f"WITH {LINES}, days_of AS ({_calendar()}) " + " UNION ALL ".join(
+        [report("transactions", "transactions", sales), report("part", "retail_articles", goods), report("days_of", "date_dimensions", days)]
+    )
+
+
 # Inventory and ledger
 
 
@@ -442,6 +501,10 @@ def oracle_sql() -> dict[str, str]:
         "typed_csv_load": f"""WITH {TRANSACTIONS} SELECT date_key, COUNT(*) AS row_count,
             CAST(SUM(quantity) AS BIGINT) AS units, CAST({total('total_amount')} AS DOUBLE) AS total_amount
             FROM transactions GROUP BY date_key""",
+        "load_transactions": _load_transactions(),
+        "load_articles": _load_articles(),
+        "load_dates": _load_dates(),
+        "load_reports": _load_reports(),
         "json_stream_bronze": BRONZE_EVENTS,
         "csv_stream_bronze": BRONZE_EVENTS,
         "parquet_stream_bronze": BRONZE_EVENTS,

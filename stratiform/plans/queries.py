@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +23,8 @@ from stratiform.plans import inputs as src
 from stratiform.session import configure, work_folder
 from stratiform.sources.files import read_stream
 from stratiform.sources.inventory import is_user_schema
-from stratiform.sources.tables import typed_rows, update_partitions, write_files
-from stratiform.specs import TRANSACTIONS, TRANSACTIONS_KEYED
+from stratiform.sources.tables import load_csv, update_partitions, write_files
+from stratiform.specs import DATE_DIMENSIONS, RETAIL_ARTICLES, TRANSACTIONS_KEYED, TableSpec
 from stratiform.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,21 +49,41 @@ def bronze_copy(spark, sf_dir):
     return bronze(src.table(spark, sf_dir, "orders"), ["o_orderkey"], src.AUDIT_TS, "ecommerce")
 
 
+UNPARTITIONED = replace(TRANSACTIONS_KEYED, partition_by=())
+
+
+@contextmanager
+def _declared(spark: SparkSession, folder: str) -> Iterator[tuple[str, str]]:
+    """Name and location of a declared table that is forgotten afterwards; its files stay."""
+    name = f"loaded_{uuid.uuid4().hex}"
+    try:
+        yield name, f"{folder}/out"
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _csv(rows: DataFrame, spec: TableSpec, path: str) -> str:
+    rows.write.options(header="true", dateFormat=spec.date_format).csv(path)
+    return path
+
+
+def _loaded(spark: SparkSession, spec: TableSpec, lines: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Write lines as CSV files, load them into the declared table: its rows and the report of the load."""
+    folder = work_folder(spark, label)
+    path = _csv(lines.select(*[c for c in spec.columns if c in lines.columns]), spec, f"{folder}/in")
+    with _declared(spark, folder) as (name, location):
+        report = load_csv(spark, spec, path, name, location)
+        # as a table, since the rows of a partition value that is NULL lie in a folder of another name
+        rows = spark.read.schema(spec.schema).parquet(location)
+    return rows, report.withColumn("table_name", F.lit(spec.name))
+
+
 @query
 def typed_csv_load(spark, sf_dir):
-    """Export the sales lines as CSV, load them by schema into a table by month, report each day.
-
-    Days are the partitions of the declared table (see the specs); months keep the folder count small
-    where a day holds only a few rows.
-    """
-    folder = work_folder(spark, "csv-load")
-    rows = src.transactions(spark, sf_dir).select(*TRANSACTIONS.columns)
-    rows.write.options(header="true", dateFormat=TRANSACTIONS.date_format).csv(f"{folder}/in")
-    loaded = typed_rows(spark, TRANSACTIONS_KEYED, f"{folder}/in")
-    monthly = loaded.withColumn("month_key", F.floor(F.col("date_key") / 100))
-    write_files(monthly, f"{folder}/out", ["month_key"], ["date_key", "article_id"])
+    """Export the sales lines as CSV, load them into a table without partitions, report each day."""
+    rows = src.transactions(spark, sf_dir)
     return (
-        spark.read.parquet(f"{folder}/out")
+        _loaded(spark, UNPARTITIONED, rows.drop("date_key"), "csv-load")[0]
         .groupBy("date_key")
         .agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -69,6 +93,34 @@ def typed_csv_load(spark, sf_dir):
     )
 
 
+@query
+def load_transactions(spark, sf_dir):
+    """Sales lines loaded into the declared table by day: values that don't parse are NULL, and so is the day that follows from a date."""
+    return _loaded(spark, TRANSACTIONS_KEYED, src.transaction_lines(spark, sf_dir), "load-transactions")[0]
+
+
+@query
+def load_articles(spark, sf_dir):
+    return _loaded(spark, RETAIL_ARTICLES, src.article_lines(spark, sf_dir), "load-articles")[0]
+
+
+@query
+def load_dates(spark, sf_dir):
+    return _loaded(spark, DATE_DIMENSIONS, src.calendar_lines(spark, sf_dir), "load-dates")[0]
+
+
+@query
+def load_reports(spark, sf_dir):
+    """Rows loaded and values refused, by table and column, counted while loading."""
+    reports = [
+        _loaded(spark, UNPARTITIONED, src.transaction_lines(spark, sf_dir), "report-transactions")[1],
+        _loaded(spark, RETAIL_ARTICLES, src.article_lines(spark, sf_dir), "report-articles")[1],
+        _loaded(spark, DATE_DIMENSIONS, src.calendar_lines(spark, sf_dir), "report-dates")[1],
+    ]
+    every = reduce(DataFrame.unionByName, reports)
+    return every.select("table_name", "row_count", F.explode("rejects").alias("column_name", "rejected_count"))
+
+
 def _stream_bronze(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     folder = work_folder(spark, f"{kind}-stream")
     events = src.keyed_events(spark, sf_dir)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,8 @@ from stratiform.specs import TableSpec
 
 # A wrong header raises in place of shifting columns: CSV schemas are applied by position.
 _CSV = {"header": "true", "enforceSchema": "false"}
+_LINE = "_refused_line"
+REJECTS = "_rejects"
 
 
 def read_csv(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
@@ -17,26 +21,44 @@ def read_csv(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
     return spark.read.options(dateFormat=spec.date_format, **_CSV).schema(spec.schema).csv(path)
 
 
+def read_csv_marked(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
+    """`read_csv` with `_rejects`: names of the columns whose value the declared type refused.
+
+    Spark keeps the line of a row that did not parse; only such lines are taken apart again, as text. A
+    line with a wrong number of values and no refused value is marked `_line`.
+    """
+    schema = T.StructType([*spec.schema.fields, T.StructField(_LINE, T.StringType())])
+    rows = spark.read.options(dateFormat=spec.date_format, columnNameOfCorruptRecord=_LINE, **_CSV).schema(schema).csv(path)
+    text = ", ".join(f"`{n}` STRING" for n in spec.columns)
+    taken = rows.withColumn("_text", F.when(F.col(_LINE).isNotNull(), F.from_csv(_LINE, text)))
+    refused = F.array_compact(
+        F.array(
+            *[
+                F.when(F.col(f"_text.`{f.name}`").isNotNull() & F.col(f"`{f.name}`").isNull(), F.lit(f.name))
+                for f in typed_fields(spec)
+            ]
+        )
+    )
+    marked = F.when(F.col(_LINE).isNull(), F.array().cast("array<string>")).when(F.size(refused) > 0, refused)
+    return taken.withColumn(REJECTS, marked.otherwise(F.array(F.lit("_line")))).drop(_LINE, "_text")
+
+
+def typed_fields(spec: TableSpec) -> list[T.StructField]:
+    """Columns whose values can be refused: all but text."""
+    return [f for f in spec.schema.fields if not isinstance(f.dataType, T.StringType)]
+
+
+def reject_counts(names: Sequence[str]) -> list[Column]:
+    """Aggregates over `_rejects`, one a column."""
+    return [F.count_if(F.array_contains(REJECTS, n)).alias(n) for n in names]
+
+
 def rejected_values(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
     """Rows `column_name, rejected_count`: values present in the CSV that the declared type refuses."""
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in spec.columns])
-    text = spark.read.options(**_CSV).schema(text_schema).csv(path)
-    typed = [f for f in spec.schema.fields if not isinstance(f.dataType, T.StringType)]
-    counts = []
-    for i, field in enumerate(typed):
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DateType):
-            parsed = F.try_to_timestamp(value, F.lit(spec.date_format)).cast("date")
-        else:
-            parsed = value.try_cast(field.dataType)
-        counts.append(F.count_if(value.isNotNull() & parsed.isNull()).alias(f"_r{i}"))
-    lines = F.array(
-        *[
-            F.struct(F.lit(f.name).alias("column_name"), F.col(f"_r{i}").alias("rejected_count"))
-            for i, f in enumerate(typed)
-        ]
-    )
-    return text.agg(*counts).select(F.inline(lines))
+    names = [*(f.name for f in typed_fields(spec)), "_line"]
+    counts = read_csv_marked(spark, spec, path).agg(*reject_counts(names))
+    lines = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("rejected_count")) for n in names])
+    return counts.select(F.inline(lines))
 
 
 def sampled_schema(spark: SparkSession, kind: str, path: str, ratio: float = 1.0) -> T.StructType:

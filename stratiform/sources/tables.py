@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.functions.measures import date_key
 from stratiform.session import setting
-from stratiform.sources.files import read_csv
+from stratiform.sources.files import read_csv, read_csv_marked, reject_counts, typed_fields
 from stratiform.specs import TableSpec
 
 
@@ -19,15 +19,17 @@ def create_table(spark: SparkSession, spec: TableSpec, table: str, location: str
     spark.sql(spec.ddl(table, location))
 
 
+def _aligned(df: DataFrame, schema: T.StructType) -> list[Column]:
+    have = set(df.columns)
+    return [
+        (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+
+
 def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The declared columns in their order: missing ones as typed NULL, unknown ones left out."""
-    have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    return df.select(*_aligned(df, schema))
 
 
 def laid_out(df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -59,34 +61,69 @@ def write_files(
 
 
 def write_table(
-    df: DataFrame, spec: TableSpec, table: str, overwrite: bool = True, only_given_partitions: bool = False
+    df: DataFrame,
+    spec: TableSpec,
+    table: str,
+    overwrite: bool = True,
+    only_given_partitions: bool = False,
+    observation: Observation | None = None,
+    metrics: Sequence[Column] = (),
 ) -> None:
-    """Write into a declared table by name; the declaration with its comments stays."""
+    """Write into a declared table by name; the declaration with its comments stays.
+
+    `metrics` are aggregates over the written rows and any further columns of `df`. They are counted in the
+    writing tasks themselves, behind the last shuffle, where a lost executor counts nothing twice.
+    """
     spark = df.sparkSession
-    rows = laid_out(align_to_schema(df, spec.schema), spec.partition_by, spec.cluster_by)
+    rows = align_to_schema(df, spec.schema)
+    if observation is not None:
+        more = [c for c in df.columns if c not in spec.columns]
+        rows = df.select(*_aligned(df, spec.schema), *more)
+    rows = laid_out(rows, spec.partition_by, spec.cluster_by)
+    if observation is not None:
+        rows = rows.observe(observation, *metrics)
     stored = spark.table(table).columns
     mode = "dynamic" if only_given_partitions else "static"
     with setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
         rows.select(*stored).write.insertInto(table, overwrite=overwrite)
 
 
-def load_csv(spark: SparkSession, spec: TableSpec, path: str, table: str) -> DataFrame:
-    """Load a CSV into its declared table and report the row count.
+def load_csv(
+    spark: SparkSession,
+    spec: TableSpec,
+    path: str,
+    table: str,
+    location: str | None = None,
+    only_given_partitions: bool = False,
+) -> DataFrame:
+    """Load a CSV into its declared table; one pass reads, writes and counts.
 
-    A declared `date_key` that the file lacks is derived from `transaction_date`.
+    Returns a row `table_name, row_count, rejects`: rows loaded, and for each column that is no text how
+    many values its type refused (they are NULL in the table). A declared `date_key` that the file lacks is
+    derived from `transaction_date`. `only_given_partitions` leaves the table's other partitions as they are.
     """
-    create_table(spark, spec, table)
-    write_table(typed_rows(spark, spec, path), spec, table)
-    return row_counts(spark, [table])
+    create_table(spark, spec, table, location)
+    names = [*(f.name for f in typed_fields(spec) if f.name != "date_key" or not _derives_key(spec)), "_line"]
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("_rows"), *reject_counts(names)]
+    write_table(typed_rows(spark, spec, path, marked=True), spec, table, True, only_given_partitions, seen, metrics)
+    counts = seen.get
+    report = [(table, counts["_rows"], {n: counts[n] for n in names})]
+    return spark.createDataFrame(report, "table_name string, row_count bigint, rejects map<string, bigint>")
+
+
+def _derives_key(spec: TableSpec) -> bool:
+    return "date_key" in spec.columns and "transaction_date" in spec.columns
 
 
-def typed_rows(spark: SparkSession, spec: TableSpec, path: str) -> DataFrame:
+def typed_rows(spark: SparkSession, spec: TableSpec, path: str, marked: bool = False) -> DataFrame:
     """CSV rows by spec, with `date_key` added where the spec wants it from the date of sale."""
-    if "date_key" in spec.columns and "transaction_date" in spec.columns:
+    read = read_csv_marked if marked else read_csv
+    if _derives_key(spec):
         fields = [f for f in spec.schema.fields if f.name != "date_key"]
         bare = TableSpec(spec.name, spec.comment, T.StructType(fields), date_format=spec.date_format)
-        return read_csv(spark, bare, path).withColumn("date_key", date_key(F.col("transaction_date")))
-    return read_csv(spark, spec, path)
+        return read(spark, bare, path).withColumn("date_key", date_key(F.col("transaction_date")))
+    return read(spark, spec, path)
 
 
 def row_counts(spark: SparkSession, tables: Sequence[str]) -> DataFrame:

@@ -62,14 +62,15 @@ def test_rejected_values_are_counted(spark, tmp_path):
     path = csv_file(tmp_path / "t.csv", lines=[*LINES, bad])
     counts = {r.column_name: r.rejected_count for r in rejected_values(spark, TRANSACTIONS, path).collect()}
     assert counts == {
-        "transaction_date": 1, "quantity": 1, "unit_price": 0, "discount_pct": 0, "total_amount": 0,
+        "transaction_date": 1, "quantity": 1, "unit_price": 0, "discount_pct": 0, "total_amount": 0, "_line": 0,
     }
 
 
 def test_load_reports_and_partitions(spark, tmp_path, database):
     table = f"{database}.transactions"
-    report = load_csv(spark, TRANSACTIONS_KEYED, csv_file(tmp_path / "t.csv"), table)
-    assert rows(report) == [(table, 2)]
+    report = load_csv(spark, TRANSACTIONS_KEYED, csv_file(tmp_path / "t.csv"), table).first()
+    none = dict.fromkeys(["transaction_date", "quantity", "unit_price", "discount_pct", "total_amount", "_line"], 0)
+    assert (report.table_name, report.row_count, report.rejects) == (table, 2, none)
     stored = spark.table(table)
     assert {r.date_key for r in stored.collect()} == {20250716, 20250717}
     assert stored.columns[-1] == "date_key" and dict(stored.dtypes)["date_key"] == "bigint"
@@ -77,6 +78,32 @@ def test_load_reports_and_partitions(spark, tmp_path, database):
     assert stored.count() == 2
 
 
+def test_load_counts_what_it_refuses(spark, tmp_path, database):
+    table = f"{database}.transactions"
+    more = [
+        't3,b1,"a,2",2025-07-17,many,2.5,10,2.25,s1,"Sto""re",North,big,online,',
+        "t4,b1,a2,17-07-2025,1,2.5,10",
+        "t5,b1,a2,,,,,,s1,Store,North,big,online,c2",
+    ]
+    report = load_csv(spark, TRANSACTIONS_KEYED, csv_file(tmp_path / "t.csv", lines=[*LINES, *more]), table).first()
+    assert report.row_count == 5
+    assert {k: v for k, v in report.rejects.items() if v} == {"transaction_date": 1, "quantity": 1, "_line": 1}
+    loaded = spark.table(table).select("transaction_id", "article_id", "quantity", "date_key")
+    assert rows(loaded) == sorted(
+        [("t1", "a1", 2, 20250716), ("t2", "a2", 1, 20250717), ("t3", "a,2", None, None), ("t4", "a2", 1, 20250717), ("t5", "a2", None, None)],
+        key=repr,
+    )
+
+
+def test_load_of_some_days_leaves_the_others(spark, tmp_path, database):
+    table = f"{database}.transactions"
+    load_csv(spark, TRANSACTIONS_KEYED, csv_file(tmp_path / "t.csv"), table)
+    again = csv_file(tmp_path / "u.csv", lines=[LINES[1].replace("t2", "t9")])
+    report = load_csv(spark, TRANSACTIONS_KEYED, again, table, only_given_partitions=True)
+    assert report.first().row_count == 1
+    assert rows(spark.table(table).select("transaction_id")) == [("t1",), ("t9",)]
+
+
 def test_overwrite_keeps_comments(spark, tmp_path, database):
     table = f"{database}.transactions"
     create_table(spark, TRANSACTIONS, table)
