@@ -63,8 +63,15 @@ def asset_kind(table_type: Column) -> Column:
 
 
 def sql_text(value: Column) -> Column:
-    """Text as a quoted SQL literal."""
-    return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    """Text as a quoted SQL literal: backslashes and quotes doubled."""
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def sql_name(*parts: Column) -> Column:
+    """A dotted name for a statement, each part in backticks."""
+    tick = F.lit("`")
+    return F.concat_ws(".", *[F.concat(tick, F.replace(p, tick, F.lit("``")), tick) for p in parts])
 
 
 def is_synced(flag: Column, suggestion: Column, current: Column) -> Column:

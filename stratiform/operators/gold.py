@@ -350,31 +350,33 @@ def exploded_metrics(
     """Metrics per array element and dimension; NULL arrays are left out.
 
     An element repeated in one array adds its amount twice to the total and its key once to the count.
-    `collect` names a column of few values, fixed by the key, whose sorted set is shown per group: it is
-    grouped by first, so that the sets are built from few rows.
+    `collect` names a column of few values whose sorted set is shown per group.
 
-    Where the key is unique, a row's keys are counted inside the row: the array and its distinct
-    elements are exploded side by side, and no (element, key) pair has to be shuffled.
+    Where the key is unique, keys are counted inside the row: the array is sorted and the first of each run
+    of equal elements is marked, so an element stays one row and no (element, key) pair is shuffled. The
+    promise is checked on the key column, and a repeated key raises. A unique key has one value of
+    `collect`, so groups are built by it first and the sets from few rows.
     """
     extra = [collect] if collect else []
     present = df.filter(F.col(array).isNotNull())
+    count = f"{noun}_count"
+    measures = [exact_sum(F.col(amount)).alias("_total"), F.count(amount).alias("_rows")]
     if key_is_unique:
-        both = present.select(dimension, amount, *extra, F.posexplode(F.array(array, F.array_distinct(array))))
-        exploded = both.select(dimension, *extra, "pos", amount, F.explode("col").alias(element))
-        used = F.when(F.col("pos") == 0, F.col(amount))
-        keys = F.count_if(F.col("pos") == 1)
+        ordered = present.filter(_unique(df, key)).select(dimension, amount, *extra, F.sort_array(array).alias("_sorted"))
+        runs = F.transform(
+            "_sorted",
+            lambda x, i: F.struct(x.alias(element), (~x.eqNullSafe(F.get("_sorted", i - 1)) | (i == 0)).alias("_first")),
+        )
+        marked = ordered.select(dimension, amount, *extra, F.inline(runs))
+        grouped = marked.groupBy(element, dimension, *extra).agg(F.count_if("_first").alias(count), *measures)
+        if collect:
+            grouped = grouped.groupBy(element, dimension).agg(
+                *[F.sum(c).alias(c) for c in (count, "_total", "_rows")], F.collect_set(collect).alias("_set")
+            )
     else:
         exploded = present.select(key, dimension, amount, *extra, F.explode(array).alias(element))
-        used, keys = F.col(amount), F.count_distinct(key)
-    count = f"{noun}_count"
-    grouped = exploded.groupBy(element, dimension, *extra).agg(
-        keys.alias(count), exact_sum(used).alias("_total"), F.count(used).alias("_rows")
-    )
-    if collect:
-        grouped = grouped.groupBy(element, dimension).agg(
-            *[F.sum(c).alias(c) for c in (count, "_total", "_rows")],
-            F.array_sort(F.collect_set(collect)).alias(f"{collect}_set"),
-        )
+        sets = [F.collect_set(collect).alias("_set")] if collect else []
+        grouped = exploded.groupBy(element, dimension).agg(F.count_distinct(key).alias(count), *measures, *sets)
     total = F.col("_total")
     return grouped.select(
         element,
@@ -382,5 +384,12 @@ def exploded_metrics(
         count,
         money(total).alias("total_amount"),
         rounded_ratio(total, F.col("_rows")).alias("avg_amount"),
-        *[f"{c}_set" for c in extra],
+        *[F.array_sort("_set").alias(f"{c}_set") for c in extra],
     )
+
+
+def _unique(df: DataFrame, key: str) -> Column:
+    """A condition that is TRUE, or raises when a key repeats: a subquery over the key column alone."""
+    repeats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").agg(F.count(F.lit(1))).scalar()
+    message = F.raise_error(F.lit(f"{key} is not unique")).cast("boolean")
+    return F.when(repeats > 0, message).otherwise(F.lit(True))

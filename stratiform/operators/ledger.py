@@ -22,6 +22,7 @@ from stratiform.functions.text import (
     change_kind,
     has_text,
     is_synced,
+    sql_name,
     sql_text,
     user_name,
 )
@@ -224,19 +225,35 @@ def register_not_synced(ledger: DataFrame, name: str = "pending_sync") -> None:
     not_synced(ledger).createOrReplaceTempView(name)
 
 
+def _last_approved(ledger: DataFrame) -> DataFrame:
+    """For each target the approved change reviewed last, if it is still to be written.
+
+    An older approval is overruled by it, whether written or not, so a target never has two texts to write.
+    """
+    text = F.when(F.col("suggestion_type") == DELETE, "").otherwise(F.coalesce("suggestion", F.lit("")))
+    synced = F.coalesce("synced_to_uc", F.lit(False)).alias("synced")
+    last = F.max_by(
+        F.struct("change_id", text.alias("new_text"), synced), F.struct("review_date", "suggestion_date", "change_id")
+    )
+    latest = ledger.filter(_status(APPROVED)).groupBy(*TARGET).agg(last.alias("_last"))
+    return latest.filter(~F.col("_last.synced")).select(*TARGET, "_last.change_id", "_last.new_text")
+
+
 def sync_plan(ledger: DataFrame, inv_tables: DataFrame) -> DataFrame:
-    """Statement text for each approved change that is not synced: `change_id, statement`."""
+    """Statement text for each target with an approved change to write: `change_id, statement`.
+
+    Names are quoted part by part and texts as literals, so any name and any text make one statement.
+    """
     kinds = _as_assets(inv_tables, "table_type").groupBy(*ASSET).agg(F.min("table_type").alias("table_type"))
-    rows = not_synced(ledger).drop("asset_type").join(kinds, ASSET, "left")
+    rows = _last_approved(ledger).join(kinds, ASSET, "left")
     kind = F.upper(asset_kind(F.col("table_type")))
-    new_text = F.when(F.col("suggestion_type") == DELETE, "").otherwise(F.coalesce("suggestion", F.lit("")))
-    name = F.concat_ws(".", *ASSET)
-    column = F.concat(F.lit("`"), F.replace("suggestion_on", F.lit("`"), F.lit("``")), F.lit("`"))
-    on_table = F.format_string("COMMENT ON %s %s IS %s", kind, name, sql_text(new_text))
+    table, column = [F.col(c) for c in ASSET], F.col("suggestion_on")
+    name, text = sql_name(*table), sql_text(F.col("new_text"))
+    on_table = F.format_string("COMMENT ON %s %s IS %s", kind, name, text)
     on_column = F.when(
         kind == "TABLE",
-        F.format_string("ALTER TABLE %s ALTER COLUMN %s COMMENT %s", name, column, sql_text(new_text)),
-    ).otherwise(F.format_string("COMMENT ON COLUMN %s.%s IS %s", name, column, sql_text(new_text)))
+        F.format_string("ALTER TABLE %s ALTER COLUMN %s COMMENT %s", name, sql_name(column), text),
+    ).otherwise(F.format_string("COMMENT ON COLUMN %s IS %s", sql_name(*table, column), text))
     statement = F.when(F.col("suggestion_format") == TABLE_FORMAT, on_table).when(
         F.col("suggestion_format") == COLUMN_FORMAT, on_column
     )
@@ -247,9 +264,7 @@ def apply_approved(
     inv_tables: DataFrame, inv_columns: DataFrame, ledger: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """The inventories with all approved, unsynced texts written in; the last review of a target wins."""
-    text = F.when(F.col("suggestion_type") == DELETE, "").otherwise(F.coalesce("suggestion", F.lit("")))
-    latest = F.struct("review_date", "suggestion_date", "change_id")
-    last = not_synced(ledger).groupBy(*TARGET).agg(F.max_by(text, latest).alias("_text"))
+    last = _last_approved(ledger).withColumnRenamed("new_text", "_text")
 
     def written(inventory: DataFrame, kind: str, key: dict[str, str]) -> DataFrame:
         texts = last.filter(F.col("suggestion_format") == kind).select(

@@ -388,16 +388,23 @@ BEST = f"""{LEDGER}, best AS (
     WHEN 'rejected' THEN 3 ELSE 4 END, suggestion_date DESC, change_id) = 1)"""
 UNSYNCED = "status = 'approved' AND NOT COALESCE(synced_to_uc, FALSE)"
 NEW_TEXT = "CASE WHEN suggestion_type = 'delete' THEN '' ELSE COALESCE(suggestion, '') END"
-PLAN = f"""{LEDGER}, plan AS (
+LAST = f"""last AS (SELECT *, {NEW_TEXT} AS new_text FROM (SELECT * FROM ledger WHERE status = 'approved'
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY {TARGET} ORDER BY review_date DESC, suggestion_date DESC, change_id DESC) = 1)
+  WHERE NOT COALESCE(synced_to_uc, FALSE))"""
+
+
+def ticked(x: str) -> str:
+    return f"'`' || replace({x}, '`', '``') || '`'"
+
+
+PLAN = f"""{LEDGER}, {LAST}, plan AS (
   SELECT change_id, CASE WHEN suggestion_format = 'table description'
     THEN 'COMMENT ON ' || upper(asset_type) || ' ' || full_name || ' IS ' || quoted
-    WHEN asset_type = 'table' THEN 'ALTER TABLE ' || full_name || ' ALTER COLUMN `' || suggestion_on || '` COMMENT ' || quoted
-    ELSE 'COMMENT ON COLUMN ' || full_name || '.`' || suggestion_on || '` IS ' || quoted END AS statement
-  FROM (SELECT *, catalog || '.' || schema || '.' || asset AS full_name,
-    '''' || replace({NEW_TEXT}, '''', '''''') || '''' AS quoted FROM ledger WHERE {UNSYNCED}))"""
-WRITTEN = f"""{LEDGER}, {INV_TABLES}, {INV_COLUMNS}, texts AS (
-  SELECT {TARGET}, {NEW_TEXT} AS new_text FROM ledger WHERE {UNSYNCED}
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY {TARGET} ORDER BY review_date DESC, suggestion_date DESC, change_id DESC) = 1)"""
+    WHEN asset_type = 'table' THEN 'ALTER TABLE ' || full_name || ' ALTER COLUMN ' || {ticked('suggestion_on')} || ' COMMENT ' || quoted
+    ELSE 'COMMENT ON COLUMN ' || full_name || '.' || {ticked('suggestion_on')} || ' IS ' || quoted END AS statement
+  FROM (SELECT *, {ticked('catalog')} || '.' || {ticked('schema')} || '.' || {ticked('asset')} AS full_name,
+    '''' || replace(replace(new_text, chr(92), chr(92) || chr(92)), '''', '''''') || '''' AS quoted FROM last))"""
+WRITTEN = f"{LEDGER}, {INV_TABLES}, {INV_COLUMNS}, {LAST}, texts AS (SELECT {TARGET}, new_text FROM last)"
 DETAILS = """catalog, schema, asset, asset_type, suggestion_format, suggestion_on, suggestion, suggestion_type, status,
     reviewer_id, review_date, reviewer_comments, change_id"""
 
@@ -555,6 +562,9 @@ def oracle_sql() -> dict[str, str]:
                 ("valid_amounts", "drop", "(unit_price >= 0 AND total_amount >= 0)"),
             ]
         ),
+        "fail_rule_report": f"""WITH {RAW_TRANSACTIONS} SELECT 'valid_transaction_id' AS rule,
+            {rows_where("transaction_id IS NULL OR quantity IS NULL OR quantity = 7")} AS violations,
+            {rows_where("quantity > 0 AND unit_price >= 0 AND total_amount >= 0")} AS target_rows FROM checked""",
         "quality_flag_counts": f"""WITH {RAW_TRANSACTIONS} SELECT data_quality_flag, COUNT(*) AS row_count
             FROM checked GROUP BY 1""",
         "pk_violations": """SELECT l_orderkey, l_linenumber, COUNT(*) AS row_count, 'DUPLICATE_KEY' AS violation

@@ -23,7 +23,7 @@ from stratiform.plans import inputs as src
 from stratiform.session import configure, work_folder
 from stratiform.sources.files import read_stream
 from stratiform.sources.inventory import is_user_schema
-from stratiform.sources.tables import load_csv, update_partitions, write_files
+from stratiform.sources.tables import RuleViolation, load_csv, update_partitions, write_checked, write_files
 from stratiform.specs import DATE_DIMENSIONS, RETAIL_ARTICLES, TRANSACTIONS_KEYED, TableSpec
 from stratiform.streaming import ingest, state
 
@@ -351,6 +351,22 @@ def expectation_report(spark, sf_dir):
     return quality.rule_report(columns, silver.TRANSACTION_RULES)
 
 
+@query
+def fail_rule_report(spark, sf_dir):
+    """A checked write, then one in which fail rules are broken: the rules named, and the rows the target still has."""
+    target = f"{work_folder(spark, 'checked-write')}/target"
+    rows = src.raw_transactions(spark, sf_dir).select(*silver.transaction_columns())
+    write_checked(rows, silver.TRANSACTION_RULES, target)
+    broken = rows.withColumn("transaction_id", F.when(F.col("quantity") != 7, F.col("transaction_id")))
+    try:
+        write_checked(broken, silver.TRANSACTION_RULES, target)
+        violations = {}
+    except RuleViolation as error:
+        violations = error.violations
+    report = spark.createDataFrame(list(violations.items()), "rule string, violations bigint")
+    return report.withColumn("target_rows", F.lit(spark.read.parquet(target).count()))
+
+
 @query
 def quality_flag_counts(spark, sf_dir):
     columns = src.raw_transactions(spark, sf_dir).select(*silver.transaction_columns())
@@ -425,28 +441,30 @@ def category_performance_approx(spark, sf_dir):
     return _checked(gold.category_performance(*inputs), exact, keys, "unique_customers", ["revenue_per_customer"])
 
 
-DAILY = {
-    "day": F.col("ts"),
-    "dimensions": ["channel", "tier"],
-    "entity": "user_id",
-    "amount": "value",
-    "quantity": "quantity",
-    "active": F.col("event_type") != "error",
-    "rates": {"purchase": F.col("event_type") == "purchase"},
-}
+def _daily() -> dict:
+    """What a day's summary of events is made of."""
+    return {
+        "day": F.col("ts"),
+        "dimensions": ["channel", "tier"],
+        "entity": "user_id",
+        "amount": "value",
+        "quantity": "quantity",
+        "active": F.col("event_type") != "error",
+        "rates": {"purchase": F.col("event_type") == "purchase"},
+    }
 
 
 @query
 def daily_summary(spark, sf_dir):
     rows = src.measured_events(src.table(spark, sf_dir, "events"))
-    return gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS, approximate=False)
+    return gold.daily_summary(rows, **_daily(), noun="user", audit_ts=src.AUDIT_TS, approximate=False)
 
 
 @query
 def daily_summary_approx(spark, sf_dir):
     """The summary by sketches, each estimate checked against the exact count."""
     rows = src.measured_events(src.table(spark, sf_dir, "events"))
-    close, exact = (gold.daily_summary(rows, **DAILY, noun="user", audit_ts=src.AUDIT_TS, approximate=a) for a in (True, False))
+    close, exact = (gold.daily_summary(rows, **_daily(), noun="user", audit_ts=src.AUDIT_TS, approximate=a) for a in (True, False))
     keys = ["date", "channel", "tier"]
     return _checked(close, exact, keys, "unique_users", ["amount_per_user", "records_per_user"])
 
@@ -473,10 +491,10 @@ def daily_summary_stream(spark, sf_dir):
 
     def start() -> StreamingQuery:
         rows = src.measured_events(read_stream(spark, "parquet", events.schema, f"{folder}/in"))
-        return state.aggregate_stream(gold.daily_parts(rows, **DAILY), f"{folder}/out", f"{folder}/checkpoint")
+        return state.aggregate_stream(gold.daily_parts(rows, **_daily()), f"{folder}/out", f"{folder}/checkpoint")
 
     _in_pieces(events, f"{folder}/in", "event_id", start)
-    schema = gold.daily_parts(src.measured_events(events), **DAILY).schema
+    schema = gold.daily_parts(src.measured_events(events), **_daily()).schema
     parts = state.aggregate_state(spark, f"{folder}/out", schema, ["date", "channel", "tier", "user_id"])
     return gold.daily_fold(parts, ["channel", "tier"], "user_id", "user", src.AUDIT_TS)
 

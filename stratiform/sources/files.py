@@ -80,3 +80,27 @@ def read_stream(
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a finished folder in the place of another by renaming; the folder it replaces is removed."""
+    hadoop, system = _file_system(spark, path)
+    target, old = hadoop.Path(path), hadoop.Path(f"{staged}-replaced")
+    replaces = system.exists(target)
+    if replaces and not system.rename(target, old):
+        raise OSError(f"can't move {path} away")
+    system.mkdirs(target.getParent())
+    if not system.rename(hadoop.Path(staged), target):
+        raise OSError(f"can't move {staged} to {path}")
+    if replaces:
+        system.delete(old, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    hadoop, system = _file_system(spark, path)
+    system.delete(hadoop.Path(path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())

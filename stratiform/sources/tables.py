@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 from stratiform.functions.measures import date_key
 from stratiform.session import setting
-from stratiform.sources.files import read_csv, read_csv_marked, reject_counts, typed_fields
+from stratiform.operators.quality import Rule
+from stratiform.sources.files import discard, publish, read_csv, read_csv_marked, reject_counts, typed_fields
 from stratiform.specs import TableSpec
 
 
@@ -88,6 +90,39 @@ def write_table(
         rows.select(*stored).write.insertInto(table, overwrite=overwrite)
 
 
+class RuleViolation(ValueError):
+    """Fail rules that rows broke, with the number of rows for each."""
+
+    def __init__(self, violations: Mapping[str, int]):
+        self.violations = dict(violations)
+        super().__init__("; ".join(f"rule {name} violated by {n} rows" for name, n in self.violations.items()))
+
+
+def write_checked(df: DataFrame, rules: Sequence[Rule], path: str) -> dict[str, int]:
+    """Overwrite a Parquet folder with the rows that pass the rules, unless a fail rule is broken.
+
+    One pass writes a folder beside the target and counts the violations of every rule in the writing
+    tasks. A broken fail rule raises with its name and count, and the target stays as it was; otherwise the
+    folder takes the target's place. Returns the violations of each rule, and all rows as `rows`.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    seen = Observation()
+    counts = [F.count_if(~r.passes()).alias(r.name) for r in rules]
+    dropped = [r.passes() for r in rules if r.action == "drop"]
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    for passes in dropped:
+        rows = rows.filter(passes)
+    rows.write.parquet(staged)
+    found = seen.get
+    broken = {r.name: found[r.name] for r in rules if r.action == "fail" and found[r.name]}
+    if broken:
+        discard(spark, staged)
+        raise RuleViolation(broken)
+    publish(spark, staged, path)
+    return found
+
+
 def load_csv(
     spark: SparkSession,
     spec: TableSpec,

@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
@@ -117,6 +118,10 @@ def test_repeated_element_counts_key_once(spark):
         assert rows(out) == [("a", "x", 2, 25.0, 8.33), (None, "x", 1, 10.0, 10.0)]
     twice = gold.exploded_metrics(df.unionByName(df), "id", "dim", "amount", "tags", "tag", "row")
     assert rows(twice)[0][2] == 2
+    other = df.unionByName(df.withColumn("lang", F.lit("fr")))
+    assert [r[2] for r in rows(gold.exploded_metrics(other, "id", "dim", "amount", "tags", "tag", "row", "lang"))] == [2, 1]
+    with pytest.raises(Exception, match="id is not unique"):
+        gold.exploded_metrics(other, "id", "dim", "amount", "tags", "tag", "row", key_is_unique=True).collect()
 
 
 def test_flow_performance(spark, audit_ts):

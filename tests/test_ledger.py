@@ -169,28 +169,60 @@ def test_overlay(spark, tables, columns):
 def test_sync_plan(spark, tables):
     df = ledger(
         spark,
-        change(1, "approved", text="it's"),
+        change(1, "approved", text="it's", reviewed=0),
+        change(11, "approved", "u", text="it's"),
         change(2, "approved", "v", text="x"),
         change(3, "approved", "m", text="x"),
         change(4, "approved", "m2", C_FORMAT, "a", "x"),
         change(5, "approved", "t", C_FORMAT, "a", "x", kind="delete"),
         change(6, "approved", "gone", text="x"),
         change(7, "approved", "t", "other", text="x"),
-        change(8, "approved", "t", text="x", synced=True),
+        change(8, "approved", "t", text="x", synced=True, reviewed=1),
         change(9, "approved", "t", C_FORMAT, "b`c", None, synced=False),
         change(10),
     )
     assert dict(rows(L.sync_plan(df, tables))) == {
-        "c1": "COMMENT ON TABLE c.s.t IS 'it''s'",
-        "c2": "COMMENT ON VIEW c.s.v IS 'x'",
-        "c3": "COMMENT ON MATERIALIZED VIEW c.s.m IS 'x'",
-        "c4": "COMMENT ON COLUMN c.s.m2.`a` IS 'x'",
-        "c5": "ALTER TABLE c.s.t ALTER COLUMN `a` COMMENT ''",
-        "c6": "COMMENT ON TABLE c.s.gone IS 'x'",
-        "c9": "ALTER TABLE c.s.t ALTER COLUMN `b``c` COMMENT ''",
+        "c2": "COMMENT ON VIEW `c`.`s`.`v` IS 'x'",
+        "c3": "COMMENT ON MATERIALIZED VIEW `c`.`s`.`m` IS 'x'",
+        "c4": "COMMENT ON COLUMN `c`.`s`.`m2`.`a` IS 'x'",
+        "c5": "ALTER TABLE `c`.`s`.`t` ALTER COLUMN `a` COMMENT ''",
+        "c6": "COMMENT ON TABLE `c`.`s`.`gone` IS 'x'",
+        "c9": "ALTER TABLE `c`.`s`.`t` ALTER COLUMN `b``c` COMMENT ''",
+        "c11": "COMMENT ON TABLE `c`.`s`.`u` IS 'it''s'",
     }
 
 
+NAMES = ("Orders-7", "a`b", "`", "select", "x.y", "it's", "back\\slash", "é 日")
+TEXTS = ("plain", "it's", "ends in \\", "'", "\\'", "two\nlines", "'; DROP TABLE t; --", "", "\\n", "é 日 %s")
+
+
+def test_every_statement_of_the_plan_parses(spark, tables):
+    """Spark's own parser reads the names and the text back as they were."""
+    wanted = [(i, n, t) for i, (n, t) in enumerate((n, t) for n in NAMES for t in TEXTS)]
+    events = [change(i, "approved", f"{n}{i}", C_FORMAT if i % 2 else T_FORMAT, n, t) for i, n, t in wanted]
+    plan = dict(rows(L.sync_plan(ledger(spark, *events), tables)))
+    assert len(plan) == len(wanted)
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    for i, n, t in wanted:
+        statement = plan[f"c{i}"]
+        parser.parsePlan(statement)
+        name, text = statement.split(" COMMENT " if i % 2 else " IS ", 1)
+        assert spark.sql(f"SELECT {text} AS t").first().t == t
+        if i % 2 == 0:
+            assert list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(parser.parseMultipartIdentifier(name.removeprefix("COMMENT ON TABLE ")))) == ["c", "s", f"{n}{i}"]
+
+
+def test_the_last_review_of_a_target_is_planned(spark, tables):
+    def planned(*events):
+        return [r.change_id for r in L.sync_plan(ledger(spark, *events), tables).collect()]
+
+    first, second = change(1, "approved", text="a", reviewed=1), change(2, "approved", text="b", reviewed=2)
+    assert planned(first, second) == planned(second, first) == ["c2"]
+    assert planned(first, change(2, "approved", text="b", reviewed=2, synced=True)) == []
+    assert planned(change(1, "approved", text="a", reviewed=1, synced=True), second) == ["c2"]
+    assert planned(first, change(2, "rejected", text="b", reviewed=2)) == ["c1"]
+
+
 def test_apply_and_mark(spark, tables, columns):
     df = ledger(
         spark,

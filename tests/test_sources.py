@@ -5,10 +5,12 @@ from compare import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratiform.operators.quality import Rule
 from stratiform.session import work_folder
 from stratiform.sources import inventory
 from stratiform.sources.files import export_csv, read_csv, rejected_values, sampled_schema
 from stratiform.sources.tables import (
+    RuleViolation,
     align_to_schema,
     create_table,
     delete_where,
@@ -19,6 +21,7 @@ from stratiform.sources.tables import (
     typed_rows,
     update_by_key,
     update_partitions,
+    write_checked,
     write_files,
     write_table,
 )
@@ -230,6 +233,31 @@ def test_keyed_update_writes_touched_partitions_only(spark):
         update_partitions(spark, path, schema, ["day"], updates, "id", ["day"])
 
 
+RULES = (Rule("has_id", "id IS NOT NULL", "fail"), Rule("small", "id < 100", "fail"), Rule("has_v", "v <> ''"))
+
+
+def test_checked_write_replaces_the_target(spark):
+    path = work_folder(spark, "checked") + "/deep/target"
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id int, v string")
+    assert write_checked(df, RULES, path) == {"rows": 3, "has_id": 0, "small": 0, "has_v": 2}
+    write_checked(df.withColumn("v", F.lit("b")), RULES, path)
+    assert rows(spark.read.parquet(path)) == [(1, "b"), (2, "b"), (3, "b")]
+
+
+def test_broken_fail_rule_leaves_the_target_alone(spark):
+    folder = work_folder(spark, "checked")
+    path = f"{folder}/target"
+    write_checked(spark.createDataFrame([(1, "a")], "id int, v string"), RULES, path)
+    bad = spark.createDataFrame([(None, "x"), (500, "x"), (600, "x"), (7, "x")], "id int, v string")
+    with pytest.raises(RuleViolation, match="has_id violated by 1 rows; rule small violated by 3 rows") as raised:
+        write_checked(bad, RULES, path)
+    assert raised.value.violations == {"has_id": 1, "small": 3}
+    assert rows(spark.read.parquet(path)) == [(1, "a")]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    left = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    assert [f.getPath().getName() for f in left] == ["target"]
+
+
 def test_catalog_inventory(spark, database):
     create_table(spark, SUGGESTIONS, f"{database}.ledger")
     tables = inventory.catalog_tables(spark, [database])
