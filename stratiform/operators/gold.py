@@ -171,28 +171,18 @@ def star_join(
 def sales_totals(
     sales: DataFrame, dimensions: Sequence[str | Column], totals: Mapping[str, Column], approximate: bool
 ) -> DataFrame:
-    """Transactions, units, customers and exact totals of sales lines by `dimensions`.
+    """Transactions, units, customers and exact totals of sales lines by `dimensions`, in one pass over them.
 
-    A transaction belongs to one customer, so the exact form counts the transactions of each customer
-    and then adds them up: two groupings in place of the copy of every row that two distinct counts in
-    one grouping need. The approximate form keeps a sketch of customers and groups once.
+    Sums combine before the shuffle; of the lines themselves only the keys of the distinct counts are
+    shuffled, each with the dimensions and nothing else. A transaction counts once, whoever its customers
+    are. The approximate form keeps a sketch of the customers.
     """
-    sums = {"total_units_sold": F.sum("quantity"), "_rows": F.count("total_amount")}
-    sums |= {name: exact_sum(value) for name, value in totals.items()}
-    columns = [column.alias(name) for name, column in sums.items()]
-    transactions = F.count_distinct("transaction_id").alias("transaction_count")
-    if approximate:
-        customers = distinct("customer_id", True).alias("unique_customers")
-        return sales.groupBy(*dimensions).agg(transactions, customers, *columns)
-    names = sales.select(*dimensions).columns
-    return (
-        sales.groupBy(*dimensions, "customer_id")
-        .agg(transactions, *columns)
-        .groupBy(*names)
-        .agg(
-            F.count("customer_id").alias("unique_customers"),
-            *[F.sum(c).alias(c) for c in ("transaction_count", *sums)],
-        )
+    columns = [F.sum("quantity").alias("total_units_sold"), F.count("total_amount").alias("_rows")]
+    columns += [exact_sum(value).alias(name) for name, value in totals.items()]
+    return sales.groupBy(*dimensions).agg(
+        F.count_distinct("transaction_id").alias("transaction_count"),
+        distinct("customer_id", approximate).alias("unique_customers"),
+        *columns,
     )
 
 
@@ -363,11 +353,9 @@ def exploded_metrics(
     measures = [exact_sum(F.col(amount)).alias("_total"), F.count(amount).alias("_rows")]
     if key_is_unique:
         ordered = present.filter(_unique(df, key)).select(dimension, amount, *extra, F.sort_array(array).alias("_sorted"))
-        runs = F.transform(
-            "_sorted",
-            lambda x, i: F.struct(x.alias(element), (~x.eqNullSafe(F.get("_sorted", i - 1)) | (i == 0)).alias("_first")),
-        )
-        marked = ordered.select(dimension, amount, *extra, F.inline(runs))
+        placed = ordered.select(dimension, amount, *extra, "_sorted", F.posexplode("_sorted").alias("_at", element))
+        again = F.col(element).eqNullSafe(F.get("_sorted", F.col("_at") - 1)) & (F.col("_at") > 0)
+        marked = placed.select(dimension, amount, *extra, element, (~again).alias("_first"))
         grouped = marked.groupBy(element, dimension, *extra).agg(F.count_if("_first").alias(count), *measures)
         if collect:
             grouped = grouped.groupBy(element, dimension).agg(
