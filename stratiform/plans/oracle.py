@@ -122,6 +122,8 @@ REASONS = f"""WITH {CLASSIFIED} SELECT COALESCE(quarantine_reason, 'VALID') AS o
 BRONZE_EVENTS = f"""SELECT user_id, event_id, event_type, value, ts, {audited('ecommerce')}
   FROM events WHERE event_id % 97 <> 0"""
 
+BRONZE_FILES = f"SELECT *, TRUE AS _source_file FROM ({BRONZE_EVENTS})"
+
 MEASURED = """measured AS (
   SELECT CAST(ts AS DATE) AS date, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'app' END AS channel,
     CASE WHEN user_id % 3 = 0 THEN 'gold' ELSE 'basic' END AS tier, user_id, event_type, value,
@@ -432,6 +434,9 @@ COVERAGE = f"""{INV_TABLES}, {INV_COLUMNS}, per_table AS (
     COUNT(*) FILTER (WHERE described > 0 AND described < all_columns) AS p FROM per_table)"""
 
 
+EVERY_COVERAGE = COVERAGE.replace(ALLOWED, "table_schema NOT IN ('information_schema', 'system')")
+
+
 def _kpi_row(name: str, column: str) -> str:
     pct = "NULL" if column == "t" else f"CASE WHEN t > 0 THEN {dbl(column)} / {dbl('t')} * 100.0::DOUBLE ELSE 0.0 END"
     return (
@@ -512,9 +517,9 @@ def oracle_sql() -> dict[str, str]:
         "load_articles": _load_articles(),
         "load_dates": _load_dates(),
         "load_reports": _load_reports(),
-        "json_stream_bronze": BRONZE_EVENTS,
-        "csv_stream_bronze": BRONZE_EVENTS,
-        "parquet_stream_bronze": BRONZE_EVENTS,
+        "json_stream_bronze": BRONZE_FILES,
+        "csv_stream_bronze": BRONZE_FILES,
+        "parquet_stream_bronze": BRONZE_FILES,
         "cdc_valid": f"""WITH {CLASSIFIED} SELECT user_id, event_id, kind, value, cdc_operation, cdc_timestamp_ms,
             {audited('ecommerce')} FROM classified WHERE quarantine_reason IS NULL""",
         "cdc_quarantine": f"""WITH {CLASSIFIED} SELECT user_id, event_id, kind, value, cdc_operation, cdc_timestamp_ms,
@@ -525,6 +530,40 @@ def oracle_sql() -> dict[str, str]:
             cdc_operation, {audited('ecommerce')}, make_timestamp_ms(cdc_timestamp_ms) AS cdc_timestamp
             FROM classified WHERE quarantine_reason IS NULL AND cdc_operation <> 'd'""",
         "quarantine_stream": REASONS,
+        "quarantine_stream_rows": f"""WITH {CLASSIFIED} SELECT user_id, event_id, kind, value, cdc_operation, cdc_timestamp_ms,
+            TRUE AS _source_file, CASE WHEN mismatch THEN event_id END AS _rescued_data,
+            COALESCE(quarantine_reason, 'VALID') AS outcome,
+            CASE WHEN quarantine_reason IS NOT NULL THEN TIMESTAMP '2025-01-01 00:00:00' END AS quarantined_at,
+            {audited('ecommerce')} FROM classified""",
+        "csv_export": "SELECT * FROM customer",
+        "ledger_append": f"""WITH {SUBMITTED}, every AS (SELECT suggestion_type, status FROM ledger
+              UNION ALL SELECT suggestion_type, status FROM accepted)
+            SELECT suggestion_type, status, COUNT(*) AS row_count, (SELECT COUNT(*) FROM every) AS table_rows
+            FROM every GROUP BY 1, 2""",
+        "submitted_ids": f"""WITH {SUBMITTED} SELECT COUNT(*) AS row_count, COUNT(*) AS id_count,
+            CAST(0 AS BIGINT) AS changed_ids FROM accepted""",
+        "pending_sync_view": f"""WITH {LEDGER} SELECT asset_type, COUNT(*) AS row_count FROM ledger
+            WHERE {UNSYNCED} GROUP BY 1""",
+        "ledger_of_assets": f"WITH {LEDGER} SELECT * FROM ledger WHERE status = 'rejected'",
+        "reviewed_flags": f"""WITH {LEDGER} SELECT change_id, COALESCE(review_date > suggestion_date, FALSE) AS is_reviewed,
+            COALESCE(synced_to_uc, FALSE) AS is_synced, {audited('ledger')} FROM ledger""",
+        "catalog_schemas": f"""WITH {INV_TABLES} SELECT schema_name, ROW_NUMBER() OVER (ORDER BY schema_name)::INT AS place FROM (
+            SELECT DISTINCT table_schema AS schema_name FROM inv_tables WHERE table_catalog = 'cat_0'
+            AND table_schema NOT IN ('information_schema', 'system') AND NOT starts_with(table_schema, '__'))""",
+        "schema_tables": f"""WITH {INV_TABLES} SELECT table_name, table_type, 'cat_1.sch_1.' || table_name AS full_name,
+            ROW_NUMBER() OVER (ORDER BY table_name)::INT AS place FROM inv_tables
+            WHERE table_catalog = 'cat_1' AND table_schema = 'sch_1'""",
+        "coverage_counts": f"""WITH {EVERY_COVERAGE} SELECT t AS total_tables, d AS tables_with_desc, a AS tables_all_cols_desc,
+            p AS tables_partial_cols_desc, t - a - p AS tables_no_cols_desc FROM figures""",
+        "kpi_listing": f"""WITH {BOARDS}, names AS (SELECT UNNEST(['total_tables', 'tables_with_desc', 'tables_all_cols_desc',
+              'tables_partial_cols_desc']) AS metric_name), listed AS (
+            SELECT metric_name, NULL AS user_id, NULL AS user_count, NULL AS user_rank FROM names
+            UNION ALL SELECT metric_name, user_id, user_count, user_rank FROM boards)
+            SELECT *, ROW_NUMBER() OVER (ORDER BY metric_name, user_rank)::INT AS place,
+            TIMESTAMP '2025-01-01 00:00:00' AS last_refresh FROM listed""",
+        "kpi_metrics": f"""WITH {EVERY_COVERAGE} SELECT UNNEST(['total_tables', 'tables_with_desc', 'tables_all_cols_desc',
+            'tables_partial_cols_desc']) AS metric_name, UNNEST([t, d, a, p]) AS metric_value FROM figures""",
+        "kpi_board": f"WITH {BOARDS} SELECT user_id, user_count, user_rank FROM boards WHERE metric_name = 'top_reviewer'",
         "scd1_current": SCD1,
         "scd1_stream": SCD1,
         "scd2_history": SCD2,
@@ -586,7 +625,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_summary_approx": daily(checked=True),
         "users_rolled_up": f"""WITH {MEASURED} SELECT CAST(date_trunc('week', date) AS DATE) AS week, channel,
             COUNT(*) AS record_count, TRUE AS unique_users_close FROM measured GROUP BY 1, 2""",
-        "new_files_stream": f"""SELECT *, event_id % 2 + 1 AS start FROM ({BRONZE_EVENTS})""",
+        "new_files_stream": f"""SELECT *, event_id % 2 + 1 AS start FROM ({BRONZE_FILES})""",
         "late_rows_stream": """SELECT CAST(ts AS DATE) AS date, COUNT(*) AS row_count FROM events
             WHERE NOT (event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-11 00:00:00')
             GROUP BY 1 HAVING CAST(ts AS DATE) + INTERVAL 3 DAY <= (SELECT MAX(ts) FROM events)""",

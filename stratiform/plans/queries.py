@@ -9,22 +9,33 @@ from dataclasses import replace
 from datetime import date, datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stratiform.functions.measures import exact_sum
+from stratiform.functions.measures import exact_sum, is_true
 from stratiform.functions.sketches import is_close
+from stratiform.functions.text import qualified_name
 from stratiform.operators import cdc, conformance, gold, governance, history, ledger, quality, silver
-from stratiform.operators.bronze import bronze
+from stratiform.operators.bronze import bronze, order_columns, with_audit, with_source_file
 from stratiform.operators.calendar import date_dimension, days_of
 from stratiform.plans import inputs as src
 from stratiform.session import configure, work_folder
-from stratiform.sources.files import read_stream
-from stratiform.sources.inventory import is_user_schema
-from stratiform.sources.tables import RuleViolation, load_csv, update_partitions, write_checked, write_files
-from stratiform.specs import DATE_DIMENSIONS, RETAIL_ARTICLES, TRANSACTIONS_KEYED, TableSpec
+from stratiform.sources.files import export_csv, read_stream
+from stratiform.sources.inventory import is_user_schema, list_schemas, list_tables
+from stratiform.sources.tables import (
+    RuleViolation,
+    create_table,
+    load_csv,
+    row_counts,
+    rows_with_ids,
+    update_partitions,
+    write_checked,
+    write_files,
+    write_table,
+)
+from stratiform.specs import DATE_DIMENSIONS, METADATA_KPIS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS_KEYED, TableSpec
 from stratiform.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +141,12 @@ def _stream_bronze(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     stream = read_stream(spark, kind, events.schema, f"{folder}/in", **form)
     raw = ingest.bronze_stream(stream, ["user_id"], src.AUDIT_TS, "ecommerce")
     ingest.append(raw, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("_source_file")
+    return _from_file(spark.read.parquet(f"{folder}/out"))
+
+
+def _from_file(rows: DataFrame) -> DataFrame:
+    """Provenance that can be compared: whether a row names a file of the folder it was read from."""
+    return rows.withColumn("_source_file", F.contains("_source_file", F.lit("/in/part-")))
 
 
 @query
@@ -171,7 +187,7 @@ def new_files_stream(spark, sf_dir):
         return ingest.append(raw, f"{folder}/out", f"{folder}/checkpoint")
 
     _in_pieces(events, f"{folder}/in", "event_id", start, pieces=2)
-    return spark.read.parquet(f"{folder}/out").drop("_source_file")
+    return _from_file(spark.read.parquet(f"{folder}/out"))
 
 
 @query
@@ -238,6 +254,24 @@ def quarantine_stream(spark, sf_dir):
     return cdc.reason_counts(valid.unionByName(rejected))
 
 
+@query
+def quarantine_stream_rows(spark, sf_dir):
+    """Both sides of the split, row by row, with the file each line came from and the event a rescued line tells of."""
+    folder = work_folder(spark, "quarantine-rows")
+    src.change_lines(spark, sf_dir).write.text(f"{folder}/in")
+    lines = read_stream(spark, "text", T.StructType([T.StructField("value", T.StringType())]), f"{folder}/in")
+    changes = cdc.parse_changes(with_source_file(lines), src.PAYLOAD)
+    ingest.quarantine_stream(
+        changes, f"{folder}/out", f"{folder}/checkpoint", ["user_id"], src.AUDIT_TS, "ecommerce"
+    ).awaitTermination()
+    valid = spark.read.parquet(f"{folder}/out/valid").withColumn("outcome", F.lit("VALID"))
+    rejected = spark.read.parquet(f"{folder}/out/rejected").withColumnRenamed("quarantine_reason", "outcome")
+    line = F.col("_rescued_data")
+    image = F.coalesce(F.get_json_object(line, "$.after.event_id"), F.get_json_object(line, "$.before.event_id"))
+    both = valid.unionByName(rejected, allowMissingColumns=True)
+    return _from_file(both.withColumn("_rescued_data", image.cast("bigint"))).drop("batch")
+
+
 @query
 def scd1_current(spark, sf_dir):
     return history.scd1(src.change_rows(spark, sf_dir), ["user_id"], "cdc_timestamp", ["event_id"])
@@ -317,6 +351,70 @@ def keyed_update(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+# Tables
+
+
+@query
+def csv_export(spark, sf_dir):
+    """Customers exported as CSV and read back by type."""
+    folder = work_folder(spark, "export")
+    rows = src.table(spark, sf_dir, "customer")
+    export_csv(rows, folder)
+    return spark.read.schema(rows.schema).option("header", "true").csv(folder)
+
+
+@query
+def ledger_append(spark, sf_dir):
+    """A declared ledger table written anew, then appended to; its rows by suggestion type and status, counted."""
+    folder = work_folder(spark, "ledger-append")
+    with _declared(spark, folder) as (name, location):
+        create_table(spark, SUGGESTIONS, name, location)
+        rows = src.ledger(spark, sf_dir)
+        for _ in range(2):
+            write_table(rows, SUGGESTIONS, name)
+        write_table(_submission(spark, sf_dir)[0], SUGGESTIONS, name, overwrite=False)
+        counts = row_counts(spark, [name]).first().row_count
+        kept = spark.read.schema(SUGGESTIONS.schema).parquet(location)
+    by = kept.groupBy("suggestion_type", "status").agg(F.count(F.lit(1)).alias("row_count"))
+    return by.withColumn("table_rows", F.lit(counts))
+
+
+@query
+def submitted_ids(spark, sf_dir):
+    """Every submission has an id of its own, the same in every run."""
+    runs = [_submission(spark, sf_dir)[0].select("change_id", F.lit(i).alias("run")) for i in range(2)]
+    each = runs[0].unionByName(runs[1]).groupBy("change_id").agg(*[F.count_if(F.col("run") == i).alias(f"run_{i}") for i in range(2)])
+    return each.agg(
+        F.sum("run_0").alias("row_count"),
+        F.count_if(F.col("run_0") > 0).alias("id_count"),
+        F.count_if(F.col("run_0") != F.col("run_1")).alias("changed_ids"),
+    )
+
+
+@query
+def pending_sync_view(spark, sf_dir):
+    """Changes to be written, through the temporary view that a job of another step reads."""
+    ledger.register_not_synced(src.ledger(spark, sf_dir), "pending_sync_rows")
+    return spark.table("pending_sync_rows").groupBy("asset_type").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query
+def ledger_of_assets(spark, sf_dir):
+    """Ledger rows of given ids, repeated ids counting once."""
+    rows = src.ledger(spark, sf_dir)
+    ids = rows.filter(F.col("status") == "rejected").select("change_id")
+    return rows_with_ids(rows, ids.unionByName(ids), "change_id")
+
+
+@query
+def reviewed_flags(spark, sf_dir):
+    """Flags that are never NULL, in the standard order of columns."""
+    rows = src.ledger(spark, sf_dir).select(
+        "change_id", is_true(F.col("synced_to_uc")).alias("is_synced"), is_true(F.col("review_date") > F.col("suggestion_date")).alias("is_reviewed")
+    )
+    return order_columns(with_audit(rows, src.AUDIT_TS, "ledger"), keys=["change_id"], flags=["is_reviewed", "is_synced"])
+
+
 # Validated layer and quality
 
 
@@ -708,3 +806,59 @@ def conformance_(spark, sf_dir):
         src.inv_tables(spark, sf_dir), src.inv_columns(spark, sf_dir), src.observed_sources(spark, sf_dir)
     )
 
+
+
+def _placed(rows: DataFrame, *order: str) -> DataFrame:
+    """A short sorted listing with the place of each row, since the order of rows is not compared."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@query
+def catalog_schemas(spark, sf_dir):
+    return _placed(list_schemas(src.inv_tables(spark, sf_dir), "cat_0"), "schema_name")
+
+
+@query
+def schema_tables(spark, sf_dir):
+    """Tables of one schema with their dotted names for display."""
+    listed = list_tables(src.inv_tables(spark, sf_dir), "cat_1", "sch_1")
+    named = listed.withColumn("full_name", qualified_name(F.lit("cat_1"), F.lit("sch_1"), F.col("table_name")))
+    return _placed(named, "table_name")
+
+
+@query
+def coverage_counts(spark, sf_dir):
+    """The coverage counts in one row, tables without any described column among them."""
+    return governance.coverage(src.inv_tables(spark, sf_dir), src.inv_columns(spark, sf_dir))
+
+
+def _kpi_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache as a reader finds it: a declared table, refreshed twice."""
+    folder = work_folder(spark, "kpi-cache")
+    rows = governance.kpi_cache(
+        src.inv_tables(spark, sf_dir), src.inv_columns(spark, sf_dir), src.ledger(spark, sf_dir), src.AUDIT_TS
+    )
+    with _declared(spark, folder) as (name, location):
+        create_table(spark, METADATA_KPIS, name, location)
+        for _ in range(2):
+            governance.refresh_cache(rows, name)
+        return spark.read.schema(METADATA_KPIS.schema).parquet(location)
+
+
+@query
+def kpi_listing(spark, sf_dir):
+    """The cached KPIs in listing order, with the time of the last refresh."""
+    cache = _kpi_cache(spark, sf_dir)
+    listed = governance.cache_listing(cache).select("metric_name", "user_id", "user_count", "user_rank")
+    last = governance.last_refresh(cache).first().last_refresh
+    return _placed(listed, "metric_name", "user_rank").withColumn("last_refresh", F.lit(last))
+
+
+@query
+def kpi_metrics(spark, sf_dir):
+    return governance.cached_metrics(_kpi_cache(spark, sf_dir))
+
+
+@query
+def kpi_board(spark, sf_dir):
+    return governance.cached_board(_kpi_cache(spark, sf_dir), governance.REVIEWERS)

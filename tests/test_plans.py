@@ -13,7 +13,9 @@ from stratiform.plans import inputs as src
 
 QUERIES = {n: q for n, q in register.queries().items() if n not in register.LLM_QUERIES}
 # these write tables before they return
-WRITTEN = {n for n in QUERIES if "stream" in n or "load" in n} | {"keyed_update", "fail_rule_report", "users_rolled_up"}
+WRITTEN = {n for n in QUERIES if "stream" in n or "load" in n} | {
+    "keyed_update", "fail_rule_report", "users_rolled_up", "csv_export", "ledger_append", "kpi_listing", "kpi_metrics", "kpi_board",
+}
 
 
 def plan(df):
