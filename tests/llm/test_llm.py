@@ -171,6 +171,26 @@ def test_near_copies_of_the_pipeline(spark):
     assert all(label[i] == label[c] for i, c in found.items())
 
 
+def test_hub_families_of_the_pipeline(spark):
+    """Copies that are similar to one hub and hardly to each other: the same components as all pairs give."""
+    rng, rows = np.random.default_rng(13), []
+    for family in range(3):
+        hub = rng.integers(0, 5_000, 220).astype(str)
+        for i in range(24):
+            copy = hub.copy()
+            copy[rng.choice(np.arange(5, 215), 3, replace=False)] = [f"new{family}x{i}x{j}" for j in range(3)]
+            rows.append((100 * family + i, " ".join(copy)))
+        rows.append((100 * family + 99, " ".join(hub)))
+    sets = {i: {tuple(t.split()[s : s + 5]) for s in range(216)} for i, t in rows}
+    ids = sorted(sets)
+    x, y = np.nonzero([[len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in ids] for a in ids])
+    label = np.arange(len(ids))
+    simhash_vp.join_labels(label, x, y)
+    found = {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: ids[label[j]] for j, i in enumerate(ids)}
+    assert len(set(found.values())) == 3
+
+
 def test_licenses(spark, docs):
     rows = [(1, "MIT License mit license; GNU General Public License"), (2, "cc"), (3, "by the"), (4, "// SPDX-License-Identifier: (MIT OR GPL-2.0) AND Apache-2.0\nx"), (5, "SPDX-License-Identifier: MIT OR"), (6, None)]
     got = {r.doc_id: r for r in license_ac.licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
