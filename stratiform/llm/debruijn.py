@@ -162,7 +162,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     copies = stored(copies, "copies")
     counted = anchor_rows(slim, k, gram).withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("sure OR n > 1")
     places = counted.join(copies.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_set("pos").alias("places"))
-    edges = edge_rows(slim.join(places, "key").select("key", "text", "places"), k, gram)
+    # merged at every size: a table small enough to be broadcast today grows with the corpus
+    edges = edge_rows(slim.join(places.hint("merge"), "key").select("key", "text", "places"), k, gram)
     meeting = Window.partitionBy("g", "g2")
     judged = edges.withColumn("source", F.min("key").over(meeting)).withColumn("n", F.count("*").over(meeting)).filter("sure OR key > source")
     # what its batch settled has no source of its own here; such edges make paths of their own
@@ -194,7 +195,7 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list, k: int) -> tu
 
 def with_spans(docs: DataFrame, key: str, text: str, k: int, gram: int, names: tuple[str, str]) -> DataFrame:
     spans = repeated_spans(docs, key, text, k, gram).select(F.col("key").alias(names[0]), F.col("spans").alias(names[1]))
-    return docs.join(spans, F.col(key).cast("bigint") == F.col(names[0]), "left").drop(names[0])
+    return docs.join(spans.hint("merge"), F.col(key).cast("bigint") == F.col(names[0]), "left").drop(names[0])
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:
