@@ -5,8 +5,8 @@ host and all subdomains if the URL's path starts with its own; the longest wins.
 over length, host length, path depth, digit ratio, entropy of the characters, number of parameters, hyphens and the
 block rate and frequency of the host's suffix among the labelled URLs.
 
-The trees are fitted on at most `MAX_TRAIN` labelled URLs (those with the smallest hash), the one bound here; suffix
-statistics cover all labelled URLs and are joined by suffix, so a busy suffix is combined before it is shuffled and its
+The trees are fitted on at most `MAX_TRAIN` distinct labelled URLs (of either verdict those with the smallest hash, each
+weighed by its rows), the one bound here; suffix statistics cover all labelled URLs and are joined by suffix, so a busy suffix is combined before it is shuffled and its
 side of the join has one row. Rules are an argument, a short list that becomes one expression.
 
 Nulls and edge cases: a null URL or one without `://` has an empty host and path, no rule and the features of an empty
@@ -87,8 +87,10 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
         values = lexical(F.col("host"), F.col("path"), F.col("u")) | {"suffix_rate": F.coalesce("rate", F.lit(overall)), "suffix_count": F.coalesce("seen", F.lit(0.0))}
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df.select("*", *(c.cast("double").alias(n) for n, c in values.items())))
 
-    sample = labelled.orderBy(F.xxhash64("u"), "u", key).limit(max_train)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11)
-    model = trees.fit(featured(sample).select("label", "features").coalesce(1))
+    # a URL is one row however often it occurs, and either verdict has its share
+    distinct = labelled.groupBy("u", "host", "path", "suffix", "label").agg(F.count("*").cast("double").alias("weight"))
+    sides = [distinct.filter(F.col("label") == verdict).orderBy(F.xxhash64("u"), "u").limit(max_train // 2) for verdict in (0.0, 1.0)]
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, weightCol="weight")
+    model = trees.fit(featured(sides[0].unionByName(sides[1])).select("label", "weight", "features").coalesce(1))
     judged = model.transform(featured(rows))
     return result(judged, F.when(F.col("prediction") > 0.5, "block").otherwise("allow"))
