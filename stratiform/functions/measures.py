@@ -1,8 +1,8 @@
 """Typing, money and ratio expressions.
 
 Money arrives as DOUBLE. A sum of DOUBLE depends on the order of rows, and a DECIMAL sum costs an
-object per row. `exact_sum` adds whole units and millionths as two BIGINT sums, which is exact for
-values of up to six decimals, needs no objects and leaves room for 9e18 units per group.
+object per row. `exact_sum` adds whole units and millionths (or other decimals) as two BIGINT sums, which
+is exact for values of up to so many decimals, needs no objects and leaves room for 9e18 units per group.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(value: Column) -> Column:
-    """Order-independent sum as DECIMAL with six places; values are rounded to millionths."""
+def exact_sum(value: Column, places: int = 6) -> Column:
+    """Order-independent sum as DECIMAL; values are rounded to `places` decimals, 0 to 9.
+
+    More places leave less room for rows: a group may hold 9e18 / 10**places of them.
+    """
+    if not 0 <= places <= 9:
+        raise ValueError("places are 0 to 9")
     units = F.floor(value)
-    millionths = F.rint((value - units) * F.lit(1e6)).cast("bigint")
-    return F.sum(units).cast("decimal(20,0)") + F.sum(millionths).cast("decimal(20,0)") * F.lit(
-        Decimal("0.000001")
-    )
+    parts = F.rint((value - units) * F.lit(10.0**places)).cast("bigint")
+    return F.sum(units).cast("decimal(20,0)") + F.sum(parts).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-places))
 
 
 def money(total: Column) -> Column:

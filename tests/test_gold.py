@@ -146,6 +146,17 @@ def test_flow_performance(spark, audit_ts):
     assert r[0].source_system == "event_log"
 
 
+@pytest.mark.parametrize("places", [0, 2, 6, 9])
+def test_exact_sum_of_any_places(spark, places):
+    values = [0.1, 0.2, -0.3, 1e9 + 0.123456789, -2.5, None]
+    df = spark.createDataFrame([(v,) for v in values * 50], "v double")
+    total = df.agg(exact_sum(F.col("v"), places)).first()[0]
+    assert float(total) == pytest.approx(sum(round(v, places) for v in values if v is not None) * 50, abs=50 * 10.0**-places)
+    assert df.repartition(7).agg(exact_sum(F.col("v"), places)).first()[0] == total
+    with pytest.raises(ValueError):
+        exact_sum(F.col("v"), 10)
+
+
 def test_small_expressions(spark):
     df = spark.createDataFrame([(0, 0), (1, 4)], "a int, b int")
     assert [r[0] for r in df.select(share_pct(F.col("a"), F.col("b"))).collect()] == [0.0, 25.0]
