@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from stratiform.llm import license_ac, queries, url_gbt
+from stratiform.llm import license_ac, near_jaccard, queries, url_gbt
 
 SF = "/root/testdata/sf0.001"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -124,3 +125,21 @@ def test_packing_pieces(spark, documents):
         pieces[r.doc_id] = r.start + r.length
     assert sum(pieces.values()) == sum(end.values())
     assert len(end) >= -(-sum(end.values()) // 4096)
+
+
+def test_bitmaps_bound_what_documents_share(spark):
+    """The bound of near duplicates never lies under the shingles shared, for sets of none to thousands."""
+    rng, rows = np.random.default_rng(14), []
+    for n in (0, 1, 30, 200, 3_000):
+        for other in (0, 1, 40, 250):
+            common = rng.integers(0, 2**63, n // 2, np.uint64)
+            a, b = (np.unique(np.r_[common, rng.integers(0, 2**63, m, np.uint64)]) for m in (n - n // 2, other))
+            bits = near_jaccard.bitmaps(np.r_[a, b], np.array([0, len(a), len(a) + len(b)])).view(np.int64).tolist()
+            rows.append((len(a), len(b), *bits, len(np.intersect1d(a, b))))
+    pairs = spark.createDataFrame(rows, "n long, n_b long, bits array<long>, bits_b array<long>, common long")
+    bound = pairs.select("common", near_jaccard.most_alike("n", "bits", "bits_b").alias("x"), near_jaccard.most_alike("n_b", "bits_b", "bits").alias("y"))
+    assert all(r.common <= min(r.x, r.y) for r in bound.collect())
+    # unlike sets of usual sizes are ruled out
+    unlike = near_jaccard.bitmaps(rng.integers(0, 2**63, 400, np.uint64), np.array([0, 200, 400])).view(np.int64).tolist()
+    pair = spark.createDataFrame([(200, *unlike)], "n long, bits array<long>, bits_b array<long>")
+    assert pair.select(near_jaccard.most_alike("n", "bits", "bits_b")).first()[0] < 150
