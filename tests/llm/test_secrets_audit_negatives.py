@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,26 @@ def test_network_finds_values_without_a_key(spark, labelled):
     assert again.threshold == net.threshold and np.array_equal(again.w["conv"], net.w["conv"])
 
 
+def test_every_finding_is_learned_or_calibrates(spark, labelled, monkeypatch):
+    """No sample: each distinct candidate is learned in a shard or counted, whatever the number of shards."""
+    docs, bare = labelled
+    want = set()
+    for _, _, data, offsets in secret_cnn.runs(pa.array([r.text for r in docs.collect()])):
+        scan = secret_cnn.Scan(data, offsets)
+        want |= set(zip(scan.windows(), (scan.kind >= 0).tolist(), strict=True))
+    found = secret_cnn.labelled(docs)
+    assert {(bytes(r.bytes), r.secret) for r in found.collect()} == want and found.count() == len(want) > 2 * 1_500
+    counted = []
+    monkeypatch.setattr(secret_cnn, "fitted", lambda net, margin, kind, count, recall, real=secret_cnn.fitted: counted.append(count.sum()) or real(net, margin, kind, count, recall))
+    net = secret_cnn.train(docs, shard=2_000)
+    assert counted == [found.filter("apart").count()]
+    learned = secret_cnn.dealt(found.filter("not apart"), 4, {True: 3, False: 1}).groupBy("mark", "secret").count()
+    assert learned.count() == found.filter("not apart").count()
+    assert {(r.secret, r["count"]) for r in learned.select("secret", "count").distinct().collect()} == {(True, 3), (False, 1)}
+    spans = {r.doc_id: r.spans for r in secret_cnn.findings(docs, net).collect()}
+    assert sum("model" in spans[i] for i in bare) >= 0.8 * len(bare) and sum("model" in x for i, x in spans.items() if i not in bare) <= 3
+
+
 def test_recall_of_every_kind_is_kept():
     rng = random.Random(1)
     windows = [bytes(rng.choice(b"abcdef0123456789") for _ in range(60)) for _ in range(60)] + [b"plainwords" * 6] * 60
