@@ -1,7 +1,8 @@
 """Business aggregates over the star schema, event logs and arrays.
 
-All groupings combine before the shuffle, and COUNT(DISTINCT) is planned by Spark in two steps (first
-by group and value, then by group), so a hot group never sits in one task. Joins are plain equi joins:
+Groupings combine before the shuffle, and COUNT(DISTINCT) is planned by Spark in two steps (first by group and
+value, then by group), so a hot group never sits in one task; only `sales_totals`, whose groups are small beside
+its lines, brings a group's lines together to move them once. Joins are plain equi joins:
 Spark broadcasts the dimension when its size allows and otherwise sort-merges with skew splitting.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiform.functions.measures import (
@@ -173,19 +174,34 @@ def sales_totals(
 ) -> DataFrame:
     """Transactions, units, customers and exact totals of sales lines by `dimensions`, in one pass over them.
 
-    Sums combine before the shuffle; of the lines themselves only the keys of the distinct counts are
-    shuffled, each with the dimensions and nothing else. A transaction counts once, whoever its customers
-    are. The approximate form keeps a sketch of the customers.
+    A line is shuffled once, by its group, with nothing but what is counted or added; both distinct counts mark
+    the first line of each value in the group, in sorts that spill, so no line is copied and no key travels again.
+    A transaction counts once, whoever its customers are. The approximate form keeps a sketch of the customers.
+    The first of the totals is the one whose rows are counted. A group is within one task.
     """
-    columns = [F.sum("quantity").alias("total_units_sold"), F.count("total_amount").alias("_rows")]
-    columns += [exact_sum(value).alias(name) for name, value in totals.items()]
-    return sales.groupBy(*dimensions).agg(
-        F.count_distinct("transaction_id").alias("transaction_count"),
-        distinct("customer_id", approximate).alias("unique_customers"),
-        *columns,
+    values = [value.alias(name) for name, value in totals.items()]
+    lines = sales.select(*dimensions, "transaction_id", "customer_id", "quantity", *values)
+    by = lines.columns[: len(dimensions)]
+    lines = lines.repartition(*by).withColumn("_transaction", _first(by, "transaction_id"))
+    customers = distinct("customer_id", True)
+    if not approximate:
+        lines = lines.withColumn("_customer", _first(by, "customer_id"))
+        customers = F.count_if("_customer")
+    return lines.groupBy(*by).agg(
+        F.count_if("_transaction").alias("transaction_count"),
+        customers.alias("unique_customers"),
+        F.sum("quantity").alias("total_units_sold"),
+        F.count(next(iter(totals))).alias("_rows"),
+        *[exact_sum(F.col(name)).alias(name) for name in totals],
     )
 
 
+def _first(by: Sequence[str], column: str) -> Column:
+    """Whether a row is the first of its value within a group; a null is no value."""
+    again = F.row_number().over(Window.partitionBy(*by, column).orderBy(column))
+    return F.col(column).isNotNull() & (again == 1)
+
+
 def retail_performance(
     transactions: DataFrame,
     articles: DataFrame,

@@ -59,6 +59,18 @@ def test_category_performance(spark, audit_ts):
         assert (r.units_per_transaction, r.revenue_per_customer) == (2.0, 20.0)
 
 
+def test_sales_lines_are_shuffled_once(spark, audit_ts):
+    """Nulls, repeats and a transaction of two customers are counted without a copy of a line."""
+    line = lambda t, c, total: (t, "a", DAY, 20250716, 1, 1.0, total, "N", "store", c)
+    df = tx(spark, line("t1", "c1", 1.0), line("t1", "c2", 2.0), line("t1", "c2", None), line(None, "c1", 4.0), line(None, None, 8.0), line("t2", None, 1.0))
+    for approximate in (False, True):
+        out = gold.category_performance(df, articles(spark), audit_ts, approximate=approximate)
+        r = out.first()
+        assert (r.transaction_count, r.unique_customers, r.total_units_sold, r.gross_revenue, r.avg_transaction_value) == (2, 2, 6, 16.0, 3.2)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in text and text.count("Exchange hashpartitioning(sale_date") == 1
+
+
 def test_performance_bands(spark, audit_ts):
     def band(total):
         df = tx(spark, ("t", "a", DAY, 20250716, 1, 0.0, total, "N", "store", "c"))
