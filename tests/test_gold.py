@@ -71,6 +71,19 @@ def test_sales_lines_are_shuffled_once(spark, audit_ts):
         assert "Expand" not in text and text.count("Exchange hashpartitioning(sale_date") == 1
 
 
+@pytest.mark.parametrize("ahead", [1, 2, 100])
+def test_lookup_joins_later_facts_only_when_it_must(spark, ahead):
+    known = articles(spark).unionByName(articles(spark).filter("article_id = 'b'"))
+    lines = [(f"t{i:02}", "ab"[i % 2] if i > 6 else "none", DAY, 1, 1, 1.0, float(i % 3), "N", "s", "c") for i in range(20)]
+    facts = tx(spark, *lines)
+    want = [(r.transaction_id, r.subcategory) for r in facts.join(known, "article_id").orderBy("transaction_id", "total_amount").limit(4).collect()]
+    got = gold.article_lookup(facts, known, ["transaction_id", "total_amount"], 4, ahead)
+    assert [(r.transaction_id, r.subcategory) for r in got.collect()] == want and want[0][0] == "t07"
+    assert gold.article_lookup(facts, known.limit(0), ["transaction_id"], 4, ahead).count() == 0
+    # the first facts are taken before they are joined
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit") >= 2
+
+
 def test_performance_bands(spark, audit_ts):
     def band(total):
         df = tx(spark, ("t", "a", DAY, 20250716, 1, 0.0, total, "N", "store", "c"))
