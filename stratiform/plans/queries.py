@@ -74,7 +74,7 @@ def _declared(spark: SparkSession, folder: str) -> Iterator[tuple[str, str]]:
 
 
 def _csv(rows: DataFrame, spec: TableSpec, path: str) -> str:
-    rows.write.options(header="true", dateFormat=spec.date_format).csv(path)
+    rows.write.options(header="true", dateFormat=spec.date_format, compression="gzip").csv(path)
     return path
 
 

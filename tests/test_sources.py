@@ -1,4 +1,5 @@
 from datetime import date, datetime, timezone
+from pathlib import Path
 
 import pytest
 from compare import rows
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratiform.operators.quality import Rule
+from stratiform.plans import queries
 from stratiform.session import work_folder
 from stratiform.sources import inventory
 from stratiform.sources.files import export_csv, read_csv, rejected_values, sampled_schema
@@ -25,7 +27,7 @@ from stratiform.sources.tables import (
     write_files,
     write_table,
 )
-from stratiform.specs import ALL_SPECS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS, TRANSACTIONS_KEYED
+from stratiform.specs import ALL_SPECS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS, TRANSACTIONS_KEYED, TableSpec
 
 HEADER = ",".join(TRANSACTIONS.columns)
 LINES = [
@@ -287,3 +289,13 @@ def test_listings_and_allow_list(spark):
     assert [r.schema_name for r in inventory.list_schemas(df, "c1", allowed).collect()] == ["s1", "s2"]
     assert [r.table_name for r in inventory.list_tables(df, "c1", "s1").collect()] == ["a", "b"]
     assert inventory.in_allow_list(df, allowed).count() == 4
+
+
+def test_exported_lines_are_packed(spark, tmp_path):
+    """Lines of a load lie packed in the shared folder and read back as they were."""
+    lines = spark.range(2_000).select(F.col("id").cast("string").alias("a"), F.lit('x, "y"').alias("b"))
+    spec = TableSpec("t", "", T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
+    path = queries._csv(lines, spec, f"{tmp_path}/in")
+    files = list(Path(path).glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files) and sum(f.stat().st_size for f in files) < 10_000
+    assert read_csv(spark, spec, path).distinct().count() == 2_000
