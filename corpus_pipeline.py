@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group linked by five-word shingles of Jaccard similarity 0.8 or more."""
+    """Keeps the first document of each group linked by five-word shingles of Jaccard similarity 0.8 or more; SimHash
+    vantage-point trees and MinHash fingerprints name the candidates."""
     return near_jaccard.keep_first(docs)
 
 

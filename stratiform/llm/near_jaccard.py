@@ -1,9 +1,15 @@
-"""Near duplicates of word shingles: candidates from several MinHash fingerprints, each link verified by Jaccard similarity.
+"""Near duplicates of word shingles: candidates from SimHash vantage-point trees and from several MinHash fingerprints, each
+link verified by Jaccard similarity.
 
-A document is the set of its shingles' 64-bit hashes. Equal sets are merged first. `BANDS` fingerprints of `ROWS` minima
-each name candidates: two documents of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
+A document is the set of its shingles' 64-bit hashes. Equal sets are merged first. Two sources name candidates:
 
-Candidates are settled in rounds. In every fingerprint whose documents are not yet in one component, some documents become
+* SimHash fingerprints of the same shingles within `RADIUS` bits, found by the vantage-point trees of `simhash_vp`; copies
+  of a fingerprint meet the smallest key that has it. Those still apart after the rounds below are verified and joined
+  then. Sets of similarity 0.8 are about ten bits apart, so most of such pairs are left to
+* `BANDS` fingerprints of `ROWS` minima each: two documents of similarity s share one with probability
+  1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8.
+
+Candidates of the second kind are settled in rounds. In every fingerprint whose documents are not yet in one component, some documents become
 pivots (1, then 64, and 256 in all later rounds, those of the smallest components there first); each is compared with
 every document there of another component, and leaves: all its pairs are settled. Rounds go on until every fingerprint is one
 component or has no pair left, so no candidate is dropped and none between documents already joined is looked at. A group
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratiform.llm import simhash_vp
 from stratiform.llm.components import components
 from stratiform.llm.frames import field, stored
 from stratiform.llm.words import LOWER, POLY, Words, as_long, mix, runs, word_bytes
@@ -135,12 +142,33 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.filter(alike >= similar * (F.col("n_a") + F.col("n_b") - alike)).select("a", "b")
 
 
+def tree_pairs(reps: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, radius: int = simhash_vp.RADIUS) -> DataFrame:
+    """Candidates (a, b): documents whose SimHash fingerprints are equal or linked by the vantage-point trees."""
+    own = docs.join(reps.select(F.col("rep").alias(key)), key, "left_semi")
+    marked = stored(simhash_vp.fingerprints(own, key, text, shingle).select(F.col(key).alias("rep"), "fp"), "fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min("rep").alias("low")), "distinct")
+    near = stored(simhash_vp.links(distinct, distinct.count(), radius), "trees")
+    other = distinct.select(F.col("fp").alias("other"), F.col("low").alias("b"))
+    across = near.join(distinct, "fp").join(other, "other").select(F.col("low").alias("a"), "b")
+    equal = marked.join(distinct, "fp").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    return stored(across.unionByName(equal).filter("a != b").distinct(), "near")
+
+
+def after_trees(now: DataFrame, near: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(rep, root) after the pairs of the trees whose ends are still apart are verified and joined."""
+    ends = near.join(now.select(F.col("rep").alias("a"), F.col("root").alias("u")), "a").join(now.select(F.col("rep").alias("b"), F.col("root").alias("v")), "b")
+    found = stored(verified(stored(ends.filter("u != v").select("a", "b"), "apart"), sets, similar), "verified")
+    return now if found.isEmpty() else joined(now, found)
+
+
 def links(sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, similar: float) -> DataFrame:
-    """(rep, root) of documents that share a fingerprint, root by all their links: (rep, bands), one row a set. Shingles are kept for documents that share a fingerprint alone."""
+    """(rep, root) of documents that a tree or a fingerprint names, root by all their links: (rep, bands), one row a set. Shingles are kept for such documents alone."""
+    near = tree_pairs(sets, docs, key, text, shingle)
     group = sets.select("rep", F.explode("bands").alias("band"))
     shared = group.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).filter("low != top").select("band")
     group = stored(group.join(shared, "band"), "shared")
-    nodes = stored(group.select("rep").distinct(), "nodes")
+    named = group.select("rep").unionByName(near.select(F.explode(F.array("a", "b")).alias("rep")))
+    nodes = stored(named.distinct(), "nodes")
     sets = stored(shingles(docs.join(nodes.select(F.col("rep").alias(key)), key, "left_semi"), key, text, shingle).dropDuplicates(["rep"]), "shingles")
     group = stored(group.join(sets.select("rep", "n", "bits"), "rep"), "sizes")
     now = nodes.withColumn("root", F.col("rep"))
@@ -150,7 +178,7 @@ def links(sets: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, s
         open_ = alike.groupBy("band").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("band")
         rooted = stored(rooted.join(alike.join(open_, "band"), ["band", "root"]), "open")
         if rooted.isEmpty():
-            return now
+            return after_trees(now, near, sets, similar)
         # documents of small components first: once each of them has met the rest, only the largest component is left
         order = Window.partitionBy("band").orderBy("own", F.xxhash64("rep", "band"), "rep")
         count = PIVOTS[min(turn, len(PIVOTS) - 1)]

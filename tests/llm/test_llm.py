@@ -171,6 +171,25 @@ def test_near_copies_of_the_pipeline(spark):
     assert all(label[i] == label[c] for i, c in found.items())
 
 
+def test_trees_name_candidates_of_the_pipeline(spark, monkeypatch):
+    """Without a MinHash fingerprint shared, the vantage-point trees alone find close copies; unlike texts of one fingerprint stay apart."""
+    rng, rows = np.random.default_rng(14), []
+    for i in range(20):
+        words = rng.integers(0, 5_000, 400).astype(str)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, f"new{i}"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in simhash_vp.fingerprints(docs, shingle=near_jaccard.SHINGLE).collect()}
+    close = {i for i in range(20) if (fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= simhash_vp.RADIUS}
+    assert len(close) > 10
+    monkeypatch.setattr(near_jaccard, "marks", lambda *a, real=near_jaccard.marks: real(*a).withColumn("bands", F.array(F.col("whole"))))
+    found = {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(docs).collect()}
+    assert all((found[2 * i + 1] == 2 * i) == (i in close) for i in range(20))
+    # a candidate below the similarity is not linked
+    monkeypatch.setattr(near_jaccard, "tree_pairs", lambda *a: spark.createDataFrame([(1, 0), (2, 0), (7, 5)], "a bigint, b bigint"))
+    found = {r.doc_id: r.component_id for r in near_jaccard.near_duplicates(docs).collect()}
+    assert found == {i: 0 if i == 1 else i for i in range(40)}
+
+
 def test_hub_families_of_the_pipeline(spark):
     """Copies that are similar to one hub and hardly to each other: the same components as all pairs give."""
     rng, rows = np.random.default_rng(13), []
