@@ -7,8 +7,8 @@ into the other, dissolves the bins that hold one of these pieces too, and puts d
 each epoch an island sends its best packing to the next island of its shard; the best of all is the result.
 
 A shard is one row of lengths, an island's packings a few rows of bin numbers; texts and ids never leave the task that
-tokenizes them. Words are tokenized once for each run of rows and kept in a bounded cache, which changes no result: no
-token of this tokenizer crosses white space.
+tokenizes them. Parts of words are tokenized once for each run of rows and kept in a bounded cache of the worker, which
+changes no result: no token of this tokenizer crosses white space.
 
 Nulls and edge cases: a null or empty text is its end id alone; a null key is a document like any other; rows that repeat
 a key are packed each; a piece of full length is a sequence of its own; an empty table gives an empty result; other
@@ -22,6 +22,8 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,74 +33,98 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from stratiform.llm.frames import field, stored
-from stratiform.llm.words import Words, runs, spread, word_bytes
+from stratiform.llm.words import LOWER, POLY, Known, Words, joined, letters, runs, word_bytes
 
 CAPACITY = 4096
 END = 1
 SHARD = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
-CACHE = 300_000
+CACHE = 1 << 20
 RUN = 1 << 20
 GROUP = 400
 WORD_END, CLOSING = "</w>", b".,;:!?"
 INSIDE = word_bytes("space")
+IS_CLOSING = np.isin(np.arange(256), list(CLOSING))
 
 
 class WordTokenizer:
-    """Ids of words, each tokenized by the library once while it stays in the cache.
+    """Ids of words, each part of a word tokenized by the library once while it stays in the cache.
 
-    Letters with closing marks after them are two parts, which the tokenizer never joins; parts of letters alone are
-    tokenized many to a call, and the ids that end a word show where each stops.
+    Letters with closing marks after them are two parts, which the tokenizer never joins; letters are told apart in lower
+    case, which the tokenizer makes of them anyway. Parts of letters alone are tokenized many to a call, and the ids that
+    end a word show where each stops.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, bytes] = {}
-        self.known: dict[int, bytes] = {}  # by the word's 64-bit hash, as runs tell words apart by it too
+        self.known = Known(CACHE)  # by a part's 64-bit hash, as runs tell words apart by it too
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: set[bytes]) -> None:
-        letters, others = [], []
-        for part in parts - self.parts.keys():
-            (letters if part.decode().isalpha() else others).append(part)
-        groups = [letters[i : i + GROUP] for i in range(0, len(letters), GROUP)]
-        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups]), strict=True):
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts, where those of each part begin, and how many they are; `plain` parts are letters alone."""
+        begin, size, out, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [], 0
+        many, others = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        text, at = joined(data, start[many], end[many])
+        groups = [many[i : i + GROUP] for i in range(0, len(many), GROUP)]
+        cut = [*at[:-1:GROUP].tolist(), len(text)]
+        # a call at a time, as the library's results are large
+        found = (self.encode([text[a + 1 : b].decode()])[0] for a, b in pairwise(cut))
+        for group, ids in zip(groups, found, strict=True):
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(group) or stop[-1] != len(ids):
-                others += group
+                others.append(group)
                 continue
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(group, (4 * stop).tolist(), strict=True):
-                self.parts[part] = raw[at:end]
-                at = end
-        for low in range(0, len(others), 10_000):
-            some = others[low : low + 10_000]
-            self.parts.update(zip(some, (x.tobytes() for x in self.encode([p.decode() for p in some])), strict=True))
+            size[group] = np.diff(stop, prepend=0)
+            begin[group] = n + stop - size[group]
+            out.append(ids)
+            n += len(ids)
+        rest = np.concatenate(others)
+        for low in range(0, len(rest), 1000):
+            some = rest[low : low + 1000]
+            found = self.encode([data[a:b].tobytes().decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            size[some] = [len(x) for x in found]
+            begin[some] = n + np.cumsum(size[some]) - size[some]
+            out += found
+            n += int(size[some].sum())
+        return np.concatenate([np.zeros(0, "<u4"), *out]), begin, size
 
     def ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a run, and the number of ids of each row."""
-        distinct, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.known = {}
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        keys = distinct.tolist()
-        new = np.array([key not in self.known for key in keys], bool)
-        at, raw, split = first[new], words.data.tobytes(), []
-        for start, end in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True):
-            word = raw[start:end]
-            core = word.rstrip(CLOSING)
-            split.append((core.lower(), word[len(core) :]) if core and core.decode().isalpha() else (word, b""))
-        self.learn({x for pair in split for x in pair if x})
-        for key, (core, marks) in zip(distinct[new].tolist(), split, strict=True):
-            self.known[key] = self.parts[core] + self.parts[marks] if marks else self.parts[core]
-        flat, own = spread([self.known[key] for key in keys], place)
-        return flat, words.per_row(own)
+        data, start, end = words.data, words.start, words.end
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(words.n), np.int64)
+        # where the closing marks of a word begin
+        small = np.int32 if len(data) < 2**31 else np.int64
+        last = np.where(IS_CLOSING[data], small(-1), np.arange(len(data), dtype=small))
+        np.maximum.accumulate(last, out=last)
+        core = np.maximum(last[end - 1] + 1, start)
+        odd = np.zeros(len(data) + 1, small)
+        np.cumsum(~letters(data), out=odd[1:])
+        plain = (odd[core] == odd[start]) & (core > start)
+        core = np.where(plain, core, end)
+        # other words keep their case
+        kept = np.zeros(len(data) + 1, np.int8)
+        kept[start[~plain]] = 1
+        kept[end[~plain]] -= 1
+        data = np.where(np.cumsum(kept[:-1], dtype=np.int8), data, LOWER[data])
+        parts = 1 + (core < end)
+        first = np.cumsum(parts) - parts
+        a, b, plain = np.repeat(start, parts), np.repeat(core, parts), np.repeat(plain, parts)
+        mark = first[parts == 2] + 1
+        a[mark], b[mark], plain[mark] = core[parts == 2], end[parts == 2], False
+        flat, own = self.known.ids(POLY.spans(data, a, b), lambda at: self.learn(data, a[at], b[at], plain[at]))
+        return flat, words.per_row(np.add.reduceat(own, first))
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker, so words met in one task are known in the next."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -106,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     schema = T.StructType([field(docs, key), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(tokenizer)
+        tokenize = word_tokenizer(tokenizer)
         for batch in batches:
             for low, _, data, offsets in runs(batch.column(1), RUN):
                 flat, n = tokenize.ids(Words(data, offsets, INSIDE))

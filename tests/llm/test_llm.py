@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stratiform.llm import attention_lm, debruijn, decontaminate, genetic_packing, license_ac, line_rules, near_jaccard, quality_fm, queries, simhash_vp, url_gbt, warc_bundles
+from stratiform.llm.words import Words
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, spans int, hits int, fp int, row string"
@@ -377,6 +378,37 @@ def test_packing(docs, texts):
     assert genetic_packing.packed(docs.limit(0), PATH).count() == 0
 
 
+def run_of(texts):
+    rows = [t.encode() for t in texts]
+    return Words(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]), genetic_packing.INSIDE)
+
+
+def test_packing_tokenizes_a_word_once(monkeypatch):
+    """Words beyond 300,000 stay known, in other cases and with other marks too; tasks of a worker share them."""
+    tokenize = genetic_packing.word_tokenizer(PATH)
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(310_000)]
+    flat, n = tokenize.ids(run_of([" ".join(names)]))
+    asked = []
+    encode = tokenize.encode
+    monkeypatch.setattr(tokenize, "encode", lambda texts: [asked.extend(texts), encode(texts)][1])
+    again, m = genetic_packing.word_tokenizer(PATH).ids(run_of([" ".join(names[:200_000]), " ".join(names[200_000:])]))
+    assert not asked and np.array_equal(flat, again) and n.sum() == m.sum()
+    tokenize.ids(run_of([" ".join(x.title() + "." for x in names[:1000])]))
+    assert set(asked) <= {".", ""}
+
+
+def test_packing_ids_of_odd_words():
+    odd = ["Éa", "İstanbul,", "日本。", "слово.", "ΑΣ.", "e\u0301e!", "a\u00a0b", "\u00a0", "...", "it's", "3.5,", "x\x00y", "“Hi”", "ABC!?", "𝒜x", "<|endoftext|>", "", "a.b", ".a", "ß" * 50, "q" * 300 + ":"]
+    texts = [*odd, " ".join(odd), "".join(odd), "\n".join(reversed(odd))]
+    tokenize, library = genetic_packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        flat, n = tokenize.ids(run_of(texts))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    tokenize.known.limit = 5  # a full cache begins anew
+    assert tokenize.ids(run_of(texts[::-1]))[0].tolist() == [i for x in want[::-1] for i in x]
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 90, 300).tolist()
