@@ -271,6 +271,60 @@ def test_attention_scores_agree_with_layer():
         assert np.allclose(scorer.targets(x, y, scorer.buffers()), want, atol=1e-4)
 
 
+def test_attention_learns_where_it_scores(monkeypatch):
+    """States, logits and the way back are made of scored places alone, and the gradients are those of whole windows."""
+    rng, span, half = np.random.default_rng(2), attention_lm.SPAN, attention_lm.OVERLAP
+    m, low = {k: w.astype(float) for k, w in attention_lm.draw().items()}, half
+    x = rng.integers(0, attention_lm.CLASSES, (5, span))
+    whole, part = attention_lm.attend(m, x), attention_lm.attend(m, x, low)
+    assert np.allclose(whole[-1][:, low:], part[-1])
+    dh = rng.normal(size=whole[-1].shape)
+    dh[:, :low] = 0
+    (g, de), (h, df) = attention_lm.attend_back(m, 0, whole, dh), attention_lm.attend_back(m, low, part, dh[:, low:])
+    assert np.allclose(de, df) and all(np.allclose(g[n], h[n]) for n in g)
+    n = np.array([200, 7, 1, 90, 40])
+    x, y, _, _, scored = attention_lm.windows(rng.integers(0, 500, n.sum()), n)
+    places, states, back, attend = [], [], attention_lm.told_back, attention_lm.attend
+    monkeypatch.setattr(attention_lm, "told_back", lambda full, ends, *more: [places.append((len(full), ends.shape[1])), back(full, ends, *more)][1])
+    monkeypatch.setattr(attention_lm, "attend", lambda m, x, low=0: [states.append(x.shape[0] * (x.shape[1] - low)), attend(m, x, low)][1])
+    training = attention_lm.Training(attention_lm.draw(500), attention_lm.Groups(np.ones(500)), 0.003, 64)
+    training.learn(x, y, scored)
+    assert [k for k, c in places if c == attention_lm.CLASSES] == [n.sum()] and sum(states) <= n.sum() + len(n) * half
+    assert training.read.sum() == x.size
+
+
+def test_states_of_any_length_have_right_gradients():
+    """With logits far beyond what exponentials hold, too."""
+    rng = np.random.default_rng(4)
+    for scale in (0.1, 30):
+        h, ends, own = rng.normal(0, scale, (700, attention_lm.WIDTH)), rng.normal(0, scale, (attention_lm.WIDTH + 1, 9)), rng.integers(0, 9, 700)
+        full, length = attention_lm.with_one(h), attention_lm.longest(h)
+        z = full @ ends
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        some = p.min(1) > 1e-30
+        assert np.allclose(attention_lm.told(full, ends, own, length)[some], np.log(p[some, own[some]]), rtol=1e-4, atol=1e-4)
+        p[np.arange(700), own] -= 1
+        g, dh = attention_lm.told_back(full, ends, own, length, 0.5)
+        assert np.allclose(g, full.T @ p / 2) and np.allclose(dh, p @ ends[:-1].T / 2)
+
+
+def test_subwords_tokenize_a_word_once(monkeypatch):
+    """Words beyond 200,000 stay known, for all tasks of a worker; odd words have the ids they have alone."""
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    subwords = attention_lm.subwords_of(vocabulary)
+    odd = ["“hi”", "é", "日本。", "a\u00a0b", "\u00a0", "\u2003x", "...", "it's", "'s", "3.5,", "x\x00y", "\x85", "e\u0301", "<|endoftext|>", "|", "ß" * 50, "q" * 300 + ":"]
+    for texts in (odd, ["", " ".join(odd), "".join(odd), "\n".join(odd[::-1])]):
+        run = run_of(texts)
+        ids, n = subwords.ids(run, run.hashes())
+        want = [[i for w in spaced(t) for i in subwords.encoding.encode_ordinary(" " + w.decode())] + [subwords.size - 1] for t in texts]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    run = run_of([" ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(210_000))])
+    first = subwords.ids(run, run.hashes())[0]
+    monkeypatch.setattr(subwords, "learn", None)
+    assert np.array_equal(attention_lm.subwords_of(vocabulary).ids(run, run.hashes())[0], first)
+
+
 def test_attention_tells_subwords_apart(spark):
     """Each word says which comes next, among words that are all equally frequent: 0.62 of the unigrams' figure, 0.75 for classes by hash."""
     words = [f"{a}{b}" for a in ("alpha", "bravo", "delta", "gamma", "kilo", "lima", "oscar", "papa", "romeo", "tango") for b in range(10, 26)]
