@@ -96,14 +96,17 @@ def anchor_rows(docs: DataFrame, k: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "g bigint, key bigint, pos int, sure boolean")
 
 
-def edge_rows(docs: DataFrame, k: int, gram: int) -> DataFrame:
-    """(g, g2, key, start, sure) of the windows of the anchors at `places`; `sure` ones have an earlier document in the batch."""
+def edge_rows(docs: DataFrame, names: tuple[str, str, str], k: int, gram: int) -> DataFrame:
+    """(g, g2, key, start, sure) of the windows of anchors; `names` are the columns of key, text and the anchors' places;
+    `sure` windows have an earlier document in the batch."""
+    columns = [docs.columns.index(x) for x in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            ids, places = batch.column(0).to_numpy(), batch.column(2)
-            for low, high, data, offsets in runs(batch.column(1)):
+            keys, text, places = (batch.column(i) for i in columns)
+            ids = keys.to_numpy()
+            for low, high, data, offsets in runs(text):
                 words = Words(data, offsets, INSIDE)
                 start, at, _ = anchors_of(words, hashes := words.hashes(), k, gram)
                 part = places.slice(low, high - low)
@@ -152,9 +155,10 @@ def paths(edges: DataFrame) -> DataFrame:
     return numbered.groupBy("key", "path").agg(F.min("start").cast("bigint").alias("start"), F.max("start").cast("bigint").alias("last"), F.first("source").alias("source"), F.first("n").alias("n")).drop("path")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:
-    """(key, spans) of the words that lie in a window with an earlier document as its source; documents with such only."""
-    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
+def repeated_spans(keyed: DataFrame, key: str, text: str, spans_name: str, k: int = K, gram: int = GRAM) -> DataFrame:
+    """(key, spans), by these names, of the words that lie in a window with an earlier document as its source; documents with
+    such only. Keys are integers and not null."""
+    slim = keyed.select(F.col(key).alias("key"), F.col(text).alias("text"))
     marks = stored(sequences(slim), "sequences")
     firsts = marks.groupBy("digest", "n_words").agg(F.min("key").alias("source"), F.max("key").alias("last")).filter("last > source")
     firsts = stored(firsts, "firsts")  # as a table, so that a join with a busy digest can be split
@@ -162,8 +166,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     copies = stored(copies, "copies")
     counted = anchor_rows(slim, k, gram).withColumn("n", F.count("*").over(Window.partitionBy("g"))).filter("sure OR n > 1")
     places = counted.join(copies.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_set("pos").alias("places"))
-    # merged at every size: a table small enough to be broadcast today grows with the corpus
-    edges = edge_rows(slim.join(places.hint("merge"), "key").select("key", "text", "places"), k, gram)
+    # merged at every size: a table small enough to be broadcast today grows with the corpus. All columns go along, so
+    # that this shuffle of the documents is the one that their spans are joined to
+    marked = keyed.join(places.select(F.col("key").alias(key), F.col("places").alias(spans_name)).hint("merge"), key)
+    edges = edge_rows(marked, (key, text, spans_name), k, gram)
     meeting = Window.partitionBy("g", "g2")
     judged = edges.withColumn("source", F.min("key").over(meeting)).withColumn("n", F.count("*").over(meeting)).filter("sure OR key > source")
     # what its batch settled has no source of its own here; such edges make paths of their own
@@ -171,7 +177,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     spans = paths(judged).select("key", F.struct("start", (F.col("last") + k).alias("end")).alias("span"))
     spans = spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
     whole = copies.select("key", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"))).alias("spans"))
-    return stored(spans.unionByName(whole), "spans")
+    return spans.unionByName(whole).select(F.col("key").alias(key), F.col("spans").alias(spans_name))
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list, k: int) -> tuple[Words, np.ndarray]:
@@ -194,8 +200,13 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, spans: list, k: int) -> tu
 
 
 def with_spans(docs: DataFrame, key: str, text: str, k: int, gram: int, names: tuple[str, str]) -> DataFrame:
-    spans = repeated_spans(docs, key, text, k, gram).select(F.col("key").alias(names[0]), F.col("spans").alias(names[1]))
-    return docs.join(spans.hint("merge"), F.col(key).cast("bigint") == F.col(names[0]), "left").drop(names[0])
+    """The documents with their spans by the second name. Their texts are shuffled by key once, for the anchors' places and
+    for the spans: Spark uses an exchange again that has the same rows, columns and keys. Null keys are not shuffled."""
+    long = F.col(key).cast("bigint")
+    keyed = docs.withColumn(names[0], long).filter(F.col(names[0]).isNotNull())
+    spans = repeated_spans(keyed, names[0], text, names[1], k, gram)
+    joined = keyed.join(spans.hint("merge"), names[0], "left").select(*docs.columns, names[1])
+    return joined.unionByName(docs.filter(long.isNull()).withColumn(names[1], F.lit(None).cast(SPANS)))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, gram: int = GRAM) -> DataFrame:

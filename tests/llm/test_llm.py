@@ -95,6 +95,19 @@ def test_substrings(docs, texts):
     assert debruijn.deduplicated(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+def test_substrings_shuffle_texts_once(spark, kind):
+    """The anchors' places and the spans are joined to one and the same exchange of the texts, null keys beside it."""
+    shared = prose(98, 40)
+    rows = [(i, f"{prose(i, 30)} {shared}", "x") for i in range(50)] + [(None, shared, "y")]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, _key string")
+    for cut in (debruijn.deduplicated(docs), debruijn.without_repeats(docs)):
+        found = {r.doc_id: r for r in cut.collect()}
+        assert len(found) == 51 and cut.schema["doc_id"] == docs.schema["doc_id"]
+        assert "ReusedExchange" in cut._jdf.queryExecution().executedPlan().toString()
+    assert [found[i].text for i in (0, 1, None)] == [rows[0][1], prose(1, 30), shared]
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x"), (3, "u\r\nv", None), (4, "u", ""), (5, "u", "é" * 400_000), (6, "u", "x"), (6, "u", "x"), (None, "u", "x")], "page_id bigint, url string, html string")
     got = by_id(warc_bundles.read_bundles(*warc_bundles.write_bundles(pages, frame=1000, bundle=4000), with_payload=True), "key")
