@@ -59,14 +59,17 @@ def transactions(
         net.alias("net_amount"),
         (net * (F.lit(1.0) + F.col("l_tax"))).alias("total_amount"),
     ]
+    if with_order:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if with_store:
-        places = (
-            table(spark, sf_dir, "supplier")
+        # one table a join, each of the size of its file: a chain of dimensions joined first counts as their product
+        stores = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        rows = (
+            rows.join(stores, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "s_name", "s_nationkey", "r_name")
         )
-        rows = rows.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         columns += [
             text(F.col("l_suppkey")).alias("store_id"),
             F.col("s_name").alias("store_name"),
@@ -74,8 +77,6 @@ def transactions(
             F.when(F.col("s_nationkey") % 2 == 0, "superstore").otherwise("local").alias("store_type"),
         ]
     if with_order:
-        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
         columns += [
             F.when(urgent, "online").otherwise("store").alias("sales_channel"),

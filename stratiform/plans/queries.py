@@ -21,8 +21,8 @@ from stratiform.operators import cdc, conformance, gold, governance, history, le
 from stratiform.operators.bronze import bronze, order_columns, with_audit, with_source_file
 from stratiform.operators.calendar import date_dimension, days_of
 from stratiform.plans import inputs as src
-from stratiform.session import configure, work_folder
-from stratiform.sources.files import export_csv, read_stream
+from stratiform.session import configure, setting, work_folder
+from stratiform.sources.files import discard, export_csv, read_stream
 from stratiform.sources.inventory import is_user_schema, list_schemas, list_tables
 from stratiform.sources.tables import (
     RuleViolation,
@@ -79,13 +79,18 @@ def _csv(rows: DataFrame, spec: TableSpec, path: str) -> str:
 
 
 def _loaded(spark: SparkSession, spec: TableSpec, lines: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Write lines as CSV files, load them into the declared table: its rows and the report of the load."""
+    """Write lines as CSV files, load them into the declared table: its rows and the report of the load.
+
+    Shuffles of the export are dropped when it ends, so that they don't lie beside those of the load, and the files once they are loaded.
+    """
     folder = work_folder(spark, label)
-    path = _csv(lines.select(*[c for c in spec.columns if c in lines.columns]), spec, f"{folder}/in")
-    with _declared(spark, folder) as (name, location):
-        report = load_csv(spark, spec, path, name, location)
-        # as a table, since the rows of a partition value that is NULL lie in a folder of another name
-        rows = spark.read.schema(spec.schema).parquet(location)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        path = _csv(lines.select(*[c for c in spec.columns if c in lines.columns]), spec, f"{folder}/in")
+        with _declared(spark, folder) as (name, location):
+            report = load_csv(spark, spec, path, name, location)
+            # as a table, since the rows of a partition value that is NULL lie in a folder of another name
+            rows = spark.read.schema(spec.schema).parquet(location)
+    discard(spark, path)
     return rows, report.withColumn("table_name", F.lit(spec.name))
 
 

@@ -71,7 +71,7 @@ def write_table(
     observation: Observation | None = None,
     metrics: Sequence[Column] = (),
 ) -> None:
-    """Write into a declared table by name; the declaration with its comments stays.
+    """Write into a declared table by name; the declaration with its comments stays. Its files are packed by zstd.
 
     `metrics` are aggregates over the written rows and any further columns of `df`. They are counted in the
     writing tasks themselves, behind the last shuffle, where a lost executor counts nothing twice.
@@ -86,7 +86,10 @@ def write_table(
         rows = rows.observe(observation, *metrics)
     stored = spark.table(table).columns
     mode = "dynamic" if only_given_partitions else "static"
-    with setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
+    with (
+        setting(spark, "spark.sql.sources.partitionOverwriteMode", mode),
+        setting(spark, "spark.sql.parquet.compression.codec", "zstd"),
+    ):
         rows.select(*stored).write.insertInto(table, overwrite=overwrite)
 
 

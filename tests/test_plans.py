@@ -6,10 +6,12 @@ from contextlib import redirect_stdout
 
 import pytest
 from compare import SF_DIR
+from pyspark.sql import functions as F
 
 import __spark_entry__ as register
 from stratiform.operators.quality import Rule, apply_rules
 from stratiform.plans import inputs as src
+from stratiform.session import setting
 
 QUERIES = {n: q for n, q in register.queries().items() if n not in register.LLM_QUERIES}
 # these write tables before they return
@@ -69,6 +71,35 @@ def test_sales_meet_their_dimensions_once(plans):
         assert len(re.findall(r"^\(\d+\) Scan parquet .*\n.*\[(?=[^\n]*l_orderkey)", plans[name], re.M)) == 1, name
 
 
+@pytest.fixture
+def sales(spark, tmp_path):
+    """A folder of 20,000 sales lines with their orders, articles and stores, some keys null and some twice."""
+    n = F.col("id")
+    lines = {"l_orderkey": F.when(n % 97 > 0, n % 5000), "l_linenumber": n.cast("int"), "l_partkey": n % 400, "l_suppkey": n % 50}
+    lines |= {"l_quantity": n % 7 + 1.0, "l_extendedprice": n * 1.25 + 1, "l_discount": n % 5 / 100, "l_tax": n % 3 / 100}
+    lines["l_shipdate"] = F.expr("timestamp_ntz'1995-01-01' + make_interval(0, 0, 0, cast(id % 10 as int))")
+    types = F.when(n % 9 > 0, F.concat(F.lit("type "), n % 3))
+    part = {"p_partkey": n, "p_name": F.lit("green apple"), "p_brand": F.concat(F.lit("b"), n % 2), "p_type": types, "p_retailprice": n + 0.5}
+    tables = {
+        "lineitem": (20_000, lines),
+        "orders": (5_000, {"o_orderkey": n, "o_custkey": n % 300, "o_orderpriority": F.when(n % 2 > 0, "2-HIGH").otherwise("5-LOW")}),
+        "part": (400, part),
+        "supplier": (51, {"s_suppkey": n % 50, "s_name": F.concat(F.lit("s"), n), "s_nationkey": (n % 5).cast("int")}),
+        "nation": (5, {"n_nationkey": n.cast("int"), "n_name": F.lit("x"), "n_regionkey": (n % 2).cast("int")}),
+        "region": (2, {"r_regionkey": n.cast("int"), "r_name": F.when(n > 0, "north")}),
+    }
+    for name, (rows, columns) in tables.items():
+        spark.range(rows, numPartitions=1).select(*[c.alias(k) for k, c in columns.items()]).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_sales_lines_are_not_shuffled_for_a_small_dimension(spark, sales):
+    """Stores smaller than the threshold are broadcast, whatever the product of the dimensions' sizes."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "20000"):
+        text = plan(src.transactions(spark, sales))
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_suppkey" not in text
+
+
 def test_elements_of_arrays_are_not_copied(plans):
     assert "Expand" not in plans["exploded_metrics"] and len(re.findall(r"^\(\d+\) Generate", plans["exploded_metrics"], re.M)) == 1
 

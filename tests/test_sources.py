@@ -1,3 +1,4 @@
+import time
 from datetime import date, datetime, timezone
 from pathlib import Path
 
@@ -299,3 +300,24 @@ def test_exported_lines_are_packed(spark, tmp_path):
     files = list(Path(path).glob("part-*"))
     assert files and all(f.name.endswith(".csv.gz") for f in files) and sum(f.stat().st_size for f in files) < 10_000
     assert read_csv(spark, spec, path).distinct().count() == 2_000
+
+
+def test_load_leaves_its_table_alone(spark):
+    """Neither the shuffles of export and load nor the CSV files lie beside a loaded table, whose files are packed by zstd."""
+
+    def shuffled():
+        names = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {n for n in names.split() if "shuffle_" in n}
+
+    fields = [T.StructField("a", T.LongType()), T.StructField("day", T.LongType())]
+    spec = TableSpec("t", "", T.StructType(fields), partition_by=("day",))
+    lines = spark.range(2_000).select(F.col("id").alias("a"), (F.col("id") % 3).alias("day")).repartition(4, "a")
+    before = shuffled()
+    loaded, report = queries._loaded(spark, spec, lines, "load-test")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    files = [Path(f.removeprefix("file://")) for f in loaded.inputFiles()]
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files) and not (files[0].parents[2] / "in").exists()
+    assert loaded.distinct().count() == 2_000 and report.first().row_count == 2_000
