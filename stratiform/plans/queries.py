@@ -35,7 +35,7 @@ from stratiform.sources.tables import (
     write_files,
     write_table,
 )
-from stratiform.specs import DATE_DIMENSIONS, METADATA_KPIS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS_KEYED, TableSpec
+from stratiform.specs import AUDIT_COLUMNS, DATE_DIMENSIONS, METADATA_KPIS, RETAIL_ARTICLES, SUGGESTIONS, TRANSACTIONS_KEYED, TableSpec
 from stratiform.streaming import ingest, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,20 +528,34 @@ def category_performance(spark, sf_dir):
     )
 
 
-def _checked(close: DataFrame, exact: DataFrame, keys: list[str], count: str, derived: list[str]) -> DataFrame:
-    """A summary by sketches whose estimate is replaced by whether it lies within three standard errors."""
-    true = exact.select(*keys, F.col(count).alias("_exact"))
-    near = F.coalesce(is_close(F.col(count), F.col("_exact")), F.lit(False))
-    return close.join(true, keys, "left").withColumn(f"{count}_close", near).drop(count, "_exact", *derived)
+def _checked(
+    close: DataFrame, exact: DataFrame, keys: list[str], count: str, derived: list[str], same: list[str] | None = None
+) -> DataFrame:
+    """A summary by sketches whose estimate is replaced by whether it lies within three standard errors.
+
+    The measures named by `same` must agree in both summaries as well. With all of them named, both read the same
+    columns of the same lines, so that Spark shuffles these once and not once a summary. The observation keeps the
+    join's null tests on keys above the exact summary, as they would make its lines others than those of the sketches.
+    """
+    counted = exact.observe(f"exact {count}", F.count(F.lit(1)).alias("groups"))
+    true = counted.select(*keys, *[F.col(c).alias(f"_{c}") for c in [count, *(same or [])]])
+    near = is_close(F.col(count), F.col(f"_{count}"))
+    for c in same or []:
+        near = near & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    extra = [c for c in true.columns if c not in keys]
+    return close.join(true, keys, "left").withColumn(f"{count}_close", F.coalesce(near, F.lit(False))).drop(count, *extra, *derived)
 
 
 @query
 def category_performance_approx(spark, sf_dir):
-    """The summary by sketches, each estimate checked against the exact count."""
+    """The summary by sketches, each estimate checked against the exact count and the other measures against the exact summary's."""
     inputs = (src.transactions(spark, sf_dir), src.articles(spark, sf_dir), src.AUDIT_TS)
     keys = ["sale_date", "department", "category", "subcategory", "region", "sales_channel"]
+    count, derived = "unique_customers", ["revenue_per_customer"]
     exact = gold.category_performance(*inputs, approximate=False)
-    return _checked(gold.category_performance(*inputs), exact, keys, "unique_customers", ["revenue_per_customer"])
+    close = gold.category_performance(*inputs)
+    same = [c for c in close.columns if c not in (*keys, count, *derived, *AUDIT_COLUMNS)]
+    return _checked(close, exact, keys, count, derived, same)
 
 
 def _daily() -> dict:

@@ -100,6 +100,21 @@ def test_sales_lines_are_not_shuffled_for_a_small_dimension(spark, sales):
     assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(l_suppkey" not in text
 
 
+def test_checked_summary_shuffles_its_lines_once(spark, sales):
+    """The summaries by sketches and by exact counts read the lines of a group from one exchange and meet without another."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        checked = QUERIES["category_performance_approx"](spark, sales)
+        found = checked.collect()
+        text = checked._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        exact = QUERIES["category_performance"](spark, sales).drop("unique_customers", "revenue_per_customer")
+        assert checked.drop("unique_customers_close").exceptAll(exact).isEmpty() and len(found) == exact.count()
+    assert "ReusedExchange" in text and len(re.findall(r"FileScan parquet \[l_orderkey", text)) == 1
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\([^\n]*sale_date", text)) == 1
+    keys = ["sale_date", "department", "category", "subcategory", "region", "sales_channel"]
+    assert {r.unique_customers_close for r in found if None not in [r[k] for k in keys]} == {True}
+    assert {r.unique_customers_close for r in found if None in [r[k] for k in keys]} == {False}
+
+
 def test_elements_of_arrays_are_not_copied(plans):
     assert "Expand" not in plans["exploded_metrics"] and len(re.findall(r"^\(\d+\) Generate", plans["exploded_metrics"], re.M)) == 1
 
